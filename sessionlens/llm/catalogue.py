@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import byte_bpe, near_dedup, pii, toxicity
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
