@@ -206,9 +206,10 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     found = members.select(*order).repartition(*by).sortWithinPartitions(*by).mapInPandas(_matcher(least), fields)
     found = common.written(found, "candidates")
 
-    wanted = docs.join(found.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # these sides grow with the input, so they are never broadcast
+    wanted = docs.join(found.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     sets = wanted.mapInPandas(_sets, "rep long, shingles binary")
-    links = found.join(sets, "rep").select(*order, "shingles").repartition(*by).sortWithinPartitions(*by).mapInPandas(_confirmer(least, percent), "a long, b long")
+    links = found.join(sets.hint("merge"), "rep").select(*order, "shingles").repartition(*by).sortWithinPartitions(*by).mapInPandas(_confirmer(least, percent), "a long, b long")
     labels = common.connected_components(links)
 
     grouped = classes.select("set_a", "set_b", "rep", "members").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
