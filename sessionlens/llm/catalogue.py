@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, pii, toxicity
+from . import byte_bpe, near_dedup, pii, quality, topk, toxicity
 
 QUERIES = {
+    "op1_topk": topk.op1_topk,
     "op2_pii": pii.op2_pii,
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_quality": quality.op5_quality,
     "op9_toxicity": toxicity.op9_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_topk": topk.ORACLE,
+}
