@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, near_dedup, pii, quality, topk, toxicity
+from . import byte_bpe, html_text, near_dedup, pii, quality, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -10,9 +10,12 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_quality": quality.op5_quality,
+    "op7_html": html_text.op7_html,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL = {
     "op1_topk": topk.ORACLE,
+    "op10_warc": warc.ORACLE,
 }

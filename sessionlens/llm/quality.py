@@ -30,15 +30,17 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(common.SEPARATORS)] = True
 _END = (".", "!", "?", "…", ":", '"', "”", "»", ";")
 
-#: Name, bad above (or below where good is above bad), good on the other side of the second bound; the first bound counts as bad.
+#: Name, where the rule says bad, where it says good; it abstains elsewhere.
 RULES = (
     ("few_words", lambda f: f["n_words"] < 30, lambda f: f["n_words"] >= 80),
     ("word_length", lambda f: (f["mean_word"] > 15) | (f["mean_word"] < 2), lambda f: (f["mean_word"] <= 12) & (f["mean_word"] >= 3)),
     ("symbols", lambda f: f["symbols"] > 0.2, lambda f: f["symbols"] <= 0.02),
+    ("marked_words", lambda f: f["marked_words"] > 0.2, lambda f: f["marked_words"] <= 0.02),
+    ("marked_lines", lambda f: f["marked_lines"] > 0.5, lambda f: f["marked_lines"] <= 0.1),
     ("equal_lines", lambda f: f["dup_lines"] > 0.3, lambda f: f["dup_lines"] <= 0.05),
     ("repeats", lambda f: f["repeats"] > 0.3, lambda f: f["repeats"] <= 0.1),
     ("capitals", lambda f: f["capitals"] > 0.6, lambda f: f["capitals"] <= 0.2),
-    ("line_ends", lambda f: f["line_ends"] < 0.2, lambda f: f["line_ends"] >= 0.7),
+    ("line_ends", lambda f: f["line_ends"] < 0.5, lambda f: f["line_ends"] >= 0.7),
     ("variety", lambda f: f["variety"] < 0.15, lambda f: f["variety"] >= 0.3),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -65,13 +67,19 @@ def measures(texts: list[bytes]) -> pd.DataFrame:
     for begin, end in common.slices(texts):
         part = texts[begin:end]
         hashes, bounds = common.word_hashes(part)
-        buffer = np.frombuffer(b"".join(part) or b" ", np.uint8)
-        stops = np.concatenate(([0], np.cumsum([len(t) for t in part])))
+        buffer = np.frombuffer(b"\n".join(part) + b"\n", np.uint8)
+        stops = np.concatenate(([0], np.cumsum([len(t) + 1 for t in part])))
 
         def totals(mask: np.ndarray, stops=stops) -> np.ndarray:
             run = np.concatenate(([0], np.cumsum(mask)))
             return run[stops[1:]] - run[stops[:-1]]
 
+        inside = np.concatenate(([False], ~_SPACE[buffer], [False]))
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        run = np.concatenate(([0], np.cumsum(_SYMBOL[buffer])))
+        marks = np.zeros(len(buffer), bool)
+        marks[edges[::2][run[edges[1::2]] > run[edges[::2]]]] = True
+        marked = totals(marks)
         chars = totals((buffer & 0xC0 != 0x80) & ~_SPACE[buffer])
         symbols, upper, letters = totals(_SYMBOL[buffer]), totals(_UPPER[buffer]), totals(_LETTER[buffer])
         for k, text in enumerate(part):
@@ -81,8 +89,9 @@ def measures(texts: list[bytes]) -> pd.DataFrame:
             dup = len(lines) - len(set(lines))
             repeats = repeated_words(words)
             ended = sum(line.rstrip(common.SEPARATORS).decode("utf-8", "replace").endswith(_END) for line in lines)
-            out.append((n, int(chars[k]), int(symbols[k]), dup, repeats, chars[k] / max(1, n), symbols[k] / max(1, n), dup / max(1, len(lines)), repeats / max(1, n), upper[k] / max(1, letters[k]), ended / max(1, len(lines)), len(np.unique(words)) / n if n else 0.0))
-    return pd.DataFrame(out, columns=[*MEASURES, "mean_word", "symbols", "dup_lines", "repeats", "capitals", "line_ends", "variety"])
+            in_lines = sum(any(c in line for c in SYMBOLS) for line in lines) if symbols[k] else 0
+            out.append((n, int(chars[k]), int(symbols[k]), dup, repeats, chars[k] / max(1, n), symbols[k] / max(1, n), marked[k] / max(1, n), in_lines / max(1, len(lines)), dup / max(1, len(lines)), repeats / max(1, n), upper[k] / max(1, letters[k]), ended / max(1, len(lines)), len(np.unique(words)) / n if n else 0.0))
+    return pd.DataFrame(out, columns=[*MEASURES, "mean_word", "symbols", "marked_words", "marked_lines", "dup_lines", "repeats", "capitals", "line_ends", "variety"])
 
 
 def patterns(f: pd.DataFrame) -> np.ndarray:
