@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
 Terms are lower-cased words and their beginnings of 4 to 7 letters, each also as "at least 2 (4, 8) times in the text". The
-vocabulary holds the terms whose log-likelihood ratio with the label passes CHOOSE among the examples; a vector is their binary
+vocabulary holds the terms that go with the label among the examples by a log-likelihood ratio of CHOOSE; a vector is their binary
 presence times inverse document frequency, at unit length. Examples are cut into blocks by number; for each term the index holds its
 postings and the largest weight in each block. A search adds up the blocks' upper bounds and scores blocks from the largest bound
 down, until no bound beats the k-th cosine found. So neighbours are exact; ties go to the smaller example number.
@@ -19,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -27,9 +28,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_TOXIC, MOST_OTHER = 3_000, 6_000
-CHOOSE = 16.0
-NEIGHBOURS, SOFT, BLOCK = 15, 0.05, 64
+MOST_TOXIC, MOST_OTHER = 1_500, 3_000
+CHOOSE = 30.0
+NEIGHBOURS, SOFT = 15, 0.05
+BLOCK, AT_ONCE = 64, 8
 TIMES = (1, 2, 4, 8)
 PREFIXES = (4, 5, 6, 7)
 REMEMBER = 100_000
@@ -49,63 +51,63 @@ def stems(word: str) -> tuple[str, ...]:
 
 
 class Vectors:
-    """Texts to sets of term numbers; with no vocabulary given, texts to the terms themselves."""
+    """Texts to sets of term numbers."""
 
-    def __init__(self, vocabulary: dict[str, int] | None = None):
+    def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
-        self.bases = None if vocabulary is None else {t.rpartition(" ")[0] for t in vocabulary}
+        self.bases = {t.rpartition(" ")[0] for t in vocabulary}
+        self.gate = {b.rstrip("~")[: PREFIXES[0]] for b in self.bases}  # most words end here
         self.known: dict[str, tuple[str, ...]] = {}
 
     def _stems(self, word: str) -> tuple[str, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            found = stems(word) if self.bases is None else tuple(s for s in stems(word) if s in self.bases)
-            self.known[word] = found
+        if len(self.known) >= REMEMBER:
+            self.known.clear()
+        found = self.known[word] = tuple(s for s in stems(word) if s in self.bases)
         return found
 
-    def terms(self, text: str) -> list[str]:
-        counts: Counter[str] = Counter()
-        for word, n in Counter(text.lower().split()).items():
-            for stem in self._stems(word):
-                counts[stem] += n
-        return [f"{stem} {t}" for stem, n in counts.items() for t in TIMES if n >= t]
-
     def numbers(self, text: str) -> list[int]:
-        return sorted(self.vocabulary[t] for t in self.terms(text) if t in self.vocabulary)
+        counts: dict[str, int] = {}
+        gate, known, first = self.gate, self.known, PREFIXES[0]
+        for word in text.lower().split():
+            if word[:first] in gate or word[0] in _STRIP and word.lstrip(_STRIP)[:first] in gate or len(word) <= first + 3 and word.strip(_STRIP) in gate:
+                found = known.get(word)
+                for stem in self._stems(word) if found is None else found:
+                    counts[stem] = counts.get(stem, 0) + 1
+        numbers = (self.vocabulary.get(f"{stem} {t}") for stem, n in counts.items() for t in TIMES if n >= t)
+        return sorted(v for v in numbers if v is not None)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors: each term's postings, and its largest weight in each block."""
 
     weights: np.ndarray  # idf by term
-    ids: list[np.ndarray]  # by term: example numbers, ascending
-    values: list[np.ndarray]
-    starts: list[np.ndarray]  # by term: where each block's postings begin, and the end
+    terms: np.ndarray  # of each posting: term, example, weight
+    examples: np.ndarray
+    values: np.ndarray
     tops: np.ndarray  # term x block
     size: int
 
     @classmethod
     def of(cls, rows: list[list[int]], n_terms: int) -> Index:
-        frequency = np.bincount(np.concatenate([np.array(r, np.int64) for r in rows] or [np.empty(0, np.int64)]), minlength=n_terms)
-        weights = np.log((1 + len(rows)) / (1 + frequency)) + 1
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for number, row in enumerate(rows):
-            norm = math.sqrt(sum(weights[t] ** 2 for t in row)) or 1.0
-            for t in row:
-                postings[t].append((number, weights[t] / norm))
-        blocks = max(1, -(-len(rows) // BLOCK))
-        tops = np.zeros((n_terms, blocks))
-        ids, values, starts = [], [], []
-        for t, p in enumerate(postings):
-            i, v = np.array([x[0] for x in p], np.int64), np.array([x[1] for x in p])
-            np.maximum.at(tops[t], i // BLOCK, v)
-            ids.append(i)
-            values.append(v)
-            starts.append(np.searchsorted(i, np.arange(blocks + 1) * BLOCK))
-        return cls(weights, ids, values, starts, tops, len(rows))
+        terms = np.array([t for row in rows for t in row], np.int64)
+        examples = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+        weights = np.log((1 + len(rows)) / (1 + np.bincount(terms, minlength=n_terms))) + 1
+        lengths = np.sqrt(np.bincount(examples, weights[terms] ** 2, minlength=len(rows)))
+        values = weights[terms] / lengths[examples]
+        tops = np.zeros((n_terms, max(1, -(-len(rows) // BLOCK))))
+        np.maximum.at(tops, (terms, examples // BLOCK), values)
+        return cls(weights, terms, examples, values, tops, len(rows))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "blocks"}
+
+    @cached_property
+    def blocks(self) -> np.ndarray:
+        """The postings laid out by block, term and place in the block."""
+        out = np.zeros((self.tops.shape[1], len(self.weights), BLOCK))
+        out[self.examples // BLOCK, self.terms, self.examples % BLOCK] = self.values
+        return out
 
     def search(self, row: list[int], k: int, without: int = -1) -> list[tuple[float, int]]:
         """The k examples of largest cosine above 0, best first; `without` is left out."""
@@ -114,22 +116,27 @@ class Index:
         q = self.weights[row]
         q = q / math.sqrt(float(q @ q))
         bounds = q @ self.tops[row]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable"):
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        scores, numbers = np.empty(0), np.empty(0, np.int64)
+        least = 0.0
+        for begin in range(0, len(order), AT_ONCE):
+            some = order[begin : begin + AT_ONCE]
             # cosines are compared at 12 digits, so equal ones tie whatever order they were added in
-            if bounds[block] <= 0 or len(best) == k and round(bounds[block] + 1e-12, 12) < -best[-1][0]:
+            some = some[bounds[some] + 1e-9 >= least]
+            if not len(some):
                 break
-            scores = np.zeros(BLOCK)
-            for t, w in zip(row, q, strict=True):
-                lo, hi = self.starts[t][block], self.starts[t][block + 1]
-                if hi > lo:
-                    scores[self.ids[t][lo:hi] - block * BLOCK] += w * self.values[t][lo:hi]
-            hits = np.flatnonzero(scores > 0)
-            if len(best) == k:
-                hits = hits[np.round(scores[hits], 12) >= -best[-1][0]]
-            best += [(-round(float(scores[h]), 12), int(block) * BLOCK + int(h)) for h in hits if block * BLOCK + h != without]
-            best = sorted(best)[:k]
-        return [(-s, n) for s, n in best]
+            found = np.round(np.einsum("t,btx->bx", q, self.blocks[some[:, None], row]), 12).ravel()
+            places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            hits = np.flatnonzero((found > 0) & (found >= least) & (places != without))
+            scores, numbers = np.concatenate((scores, found[hits])), np.concatenate((numbers, places[hits]))
+            if len(scores) > k:
+                best = np.lexsort((numbers, -scores))[:k]
+                scores, numbers = scores[best], numbers[best]
+            if len(scores) == k:
+                least = float(scores.min())
+        best = np.lexsort((numbers, -scores))
+        return [(float(scores[b]), int(numbers[b])) for b in best]
 
 
 @dataclass
@@ -172,6 +179,16 @@ def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
     return 2 * (part(a, n_a * p) + part(n_a - a, n_a * (1 - p)) + part(b, n_b * p) + part(n_b - b, n_b * (1 - p)))
 
 
+def _chosen(counts: tuple[Counter, Counter], n: np.ndarray) -> list[str]:
+    """Terms of at least 4 examples that go with the label, by a ratio of CHOOSE or more."""
+    names = sorted(t for t, c in counts[1].items() if c + counts[0][t] >= 4)
+    if 0 in n or not names:
+        return []
+    without, having = (np.array([c[t] for t in names], float) for c in counts)
+    good = (having / n[1] > without / n[0]) & (_ratio(without, having, *n) >= CHOOSE)
+    return [names[k] for k in np.flatnonzero(good)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by damped Newton steps, with a light penalty; the slope stays positive."""
     a, b = 4.0, -2.0
@@ -190,13 +207,17 @@ def fit_examples(texts: list[str], labels: list[int], doc_ids: list[int], totals
     """A model of the examples; totals: rows without and with the label that the examples stand for."""
     y = np.array(labels, np.int64)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
-    reader = Vectors()
-    found = [reader.terms(t) for t in texts]
-    counts = [Counter(t for f, label in zip(found, labels, strict=True) if label == c for t in f) for c in (0, 1)]
-    names = sorted(t for t in set(counts[0]) | set(counts[1]) if counts[0][t] + counts[1][t] >= 4)
-    a, b = (np.array([c[t] for t in names], float) for c in counts)
-    chosen = [] if 0 in n or not names else np.flatnonzero(_ratio(a, b, *n) >= CHOOSE)
-    vocabulary = {names[k]: number for number, k in enumerate(chosen)}
+    counts: tuple[Counter, Counter] = Counter(), Counter()
+    for text, label in zip(texts, labels, strict=True):
+        counts[label].update({s for word in set(text.lower().split()) for s in stems(word)})
+    first = {f"{s} 1": k for k, s in enumerate(_chosen(counts, n))}
+    again = (Counter(), Counter())
+    reader = Vectors(first | {f"{s.rpartition(' ')[0]} {t}": k + len(first) * i for s, k in first.items() for i, t in enumerate(TIMES)})
+    names = {k: t for t, k in reader.vocabulary.items()}
+    found = [[names[k] for k in reader.numbers(t)] for t in texts]
+    for terms, label in zip(found, labels, strict=True):
+        again[label].update(terms)
+    vocabulary = {t: number for number, t in enumerate(_chosen(again, n))}
     rows = [sorted(vocabulary[t] for t in f if t in vocabulary) for f in found]
     stands_for = (np.array(totals, float) / np.maximum(n, 1))[y] if len(y) else np.empty(0)
     empty = np.array([not r for r in rows], bool)
