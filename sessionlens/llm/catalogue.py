@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, near_dedup, pii, quality, topk, toxicity, warc
+from . import byte_bpe, html_text, mixing, near_dedup, pii, quality, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_byte_bpe": byte_bpe.op3_byte_bpe,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_quality": quality.op5_quality,
+    "op6_mixing": mixing.op6_mixing,
     "op7_html": html_text.op7_html,
+    "op8_substrings": substrings.op8_substrings,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
 }
