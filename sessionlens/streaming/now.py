@@ -1,0 +1,89 @@
+"""The live view: one snapshot of the current session, log events once each, and the rolling burn rate."""
+
+from __future__ import annotations
+
+from collections import deque
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame
+
+#: A session is current by the first kind of row in a batch, in this order; the live ring's size; the burn window.
+PRIORITY = ("api", "result", "decision", "event", "metric", "session")
+RING, WINDOW_MS, STALE_MS = 256, 60_000, 15_000
+
+
+@dataclass
+class Live:
+    """State of the live view, fed with micro-batches; memory follows one session and one minute."""
+
+    session: str = ""
+    costs: dict = field(default_factory=dict)
+    seen: set = field(default_factory=set)
+    active: float = 0.0
+    last_tool: str = ""
+    samples: deque = field(default_factory=deque)
+    ring: deque = field(default_factory=lambda: deque(maxlen=RING))
+    dropped: int = 0
+
+    def _switch(self, rows: list) -> None:
+        for kind in PRIORITY:
+            own = [r for r in rows if r["kind"] == kind]
+            if own:
+                session = max(own, key=lambda r: r["arrival_seq"])["session_id"]
+                if session != self.session:
+                    self.session, self.costs, self.seen, self.active, self.last_tool = session, {}, set(), 0.0, ""
+                    self.samples.clear()
+                return
+
+    def feed(self, rows: list) -> list:
+        """Takes rows (kind, session_id, arrival_seq, dedup_key, ts_ms, cost_usd, tokens, cost_source, tool_name, value) and returns new log events."""
+        rows = sorted(rows, key=lambda r: r["arrival_seq"])
+        self._switch(rows)
+        events = []
+        for r in (r for r in rows if r["session_id"] == self.session):
+            if r["kind"] == "api":
+                held = self.costs.get(r["dedup_key"])
+                if held is None or r["cost_source"] == "otlp" and held[2] != "otlp":
+                    self.costs[r["dedup_key"]] = (r["cost_usd"], r["tokens"], r["cost_source"])
+            if r["kind"] == "metric":
+                self.active += r["value"]
+            if r["kind"] in ("result", "decision"):
+                self.last_tool = r["tool_name"]
+            if r["kind"] not in ("metric", "session") and r["dedup_key"] not in self.seen:
+                self.seen.add(r["dedup_key"])
+                events.append(r)
+                self.dropped += len(self.ring) == RING
+                self.ring.append(r)
+        if rows:
+            self._sample(max(r["ts_ms"] for r in rows))
+        return events
+
+    def _sample(self, now_ms: int) -> None:
+        snapshot = self.snapshot()
+        self.samples.append((now_ms, snapshot["cost_usd"], snapshot["tokens"]))
+        while len(self.samples) > 1 and self.samples[0][0] < now_ms - WINDOW_MS:
+            self.samples.popleft()
+
+    def snapshot(self) -> dict:
+        return {"session_id": self.session, "cost_usd": sum(c for c, _, _ in self.costs.values()), "tokens": sum(t for _, t, _ in self.costs.values()), "active_sec": self.active, "last_tool": self.last_tool}
+
+    def burn(self, now_ms: int) -> tuple[float, float]:
+        """USD and tokens a minute over the window; 0 with under two samples or a stale one."""
+        if len(self.samples) < 2 or now_ms - self.samples[-1][0] > STALE_MS:
+            return 0.0, 0.0
+        (t0, c0, n0), (t1, c1, n1) = self.samples[0], self.samples[-1]
+        minutes = (t1 - t0) / 60_000
+        return (max(0.0, (c1 - c0) / minutes), max(0.0, (n1 - n0) / minutes)) if minutes > 0 else (0.0, 0.0)
+
+    def take(self) -> list:
+        """The ring's rows, led by a marker if some were pushed out since the last call."""
+        out = [{"kind": "drop", "count": self.dropped}] if self.dropped else []
+        out += list(self.ring)
+        self.ring.clear()
+        self.dropped = 0
+        return out
+
+
+def follow(stream: DataFrame, live: Live, trigger: str = "1 second"):
+    """Start feeding a streaming DataFrame to a live view; the rows of a trigger are those of one second."""
+    return stream.writeStream.foreachBatch(lambda batch, _: live.feed([r.asDict() for r in batch.collect()])).trigger(processingTime=trigger).outputMode("append").start()

@@ -1,0 +1,45 @@
+"""Idempotent micro-batch merge into Parquet snapshots."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Merge = Callable[[DataFrame], DataFrame]
+
+
+class SnapshotTable:
+    """A table as numbered snapshot folders: each batch writes the merge of the last snapshot and its own rows, so a replayed batch gives the same table.
+
+    `current.txt` names the snapshot that counts and is replaced last, so readers never see a half-written one.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge: Merge):
+        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
+        jvm = spark._jvm
+        self._pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.txt")
+        self._fs = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def current(self) -> int | None:
+        if not self._fs.exists(self._pointer):
+            return None
+        return int(self.spark.read.text(f"{self.path}/current.txt").first()[0])
+
+    def read(self) -> DataFrame | None:
+        n = self.current()
+        return None if n is None else self.spark.read.parquet(f"{self.path}/snapshot={n}")
+
+    def write_batch(self, rows: DataFrame, batch_id: int) -> None:
+        """For foreachBatch; a batch that is already in is skipped."""
+        n = self.current()
+        if n is not None and n >= batch_id:
+            return
+        held = self.read()
+        merged = self.merge(rows if held is None else held.unionByName(rows, allowMissingColumns=True))
+        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot={batch_id}")
+        out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), True)
+        out.writeBytes(f"{batch_id}\n")
+        out.close()
+        self._fs.delete(self._pointer, True)
+        self._fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), self._pointer)
