@@ -104,24 +104,22 @@ def _long_chunks(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "copies", "key", "chunk", "chunks", F.col("text").substr(F.col("chunk") * CHUNK + 1, size).alias("text"))
 
 
-def _encoded(docs: DataFrame, schema: str, row_of, ranks: str) -> DataFrame:
-    """A row of `schema`, made by row_of(doc_id, ids), for each row of docs."""
+def _encoded(docs: DataFrame, columns: str, row_of, ranks: str) -> DataFrame:
+    """doc_id and `columns`, made by row_of(ids), for each row of docs."""
+    schema = f"doc_id long, {columns}"
     names = [c.split()[0] for c in schema.split(", ")]
 
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
-
-    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield frame([row_of(d, encode_pieces([t], ranks)) for d, t in zip(batch["doc_id"], batch["text"], strict=True)])
+    def short(texts: list[str]) -> list[tuple]:
+        return [row_of(encode_pieces([t], ranks)) for t in texts]
 
     def stitch(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("chunk")
         pieces = stitched(list(zip(group["text"], group["head"], group["tail"], strict=True)), CHUNK)
-        return frame([row_of(group["doc_id"].iloc[0], encode_pieces(pieces, ranks))] * int(group["copies"].iloc[0]))
+        row = (group["doc_id"].iloc[0], *row_of(encode_pieces(pieces, ranks)))
+        return pd.DataFrame([row] * int(group["copies"].iloc[0]), columns=names).astype({"doc_id": "Int64"})
 
     rows = _rows(docs)
-    few = rows.where(F.length("text") <= CHUNK).mapInPandas(short, schema)
+    few = common.map_texts(rows.where(F.length("text") <= CHUNK), columns, lambda: short)
     parts = _long_chunks(rows).repartition("doc_id", "key", "chunk")
     parts = parts.mapInPandas(_pretokenise, "doc_id long, copies int, key string, chunk int, chunks int, text string, head array<int>, tail array<int>")
     return few.unionByName(parts.groupBy("doc_id", "copies", "key").applyInPandas(stitch, schema))
@@ -132,16 +130,16 @@ def encode(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
 
     Null and empty texts have no ids. A repeated row gives a row each time; doc_id may be null. Other columns are ignored.
     """
-    return _encoded(docs, "doc_id long, ids array<int>", lambda doc_id, ids: (doc_id, ids), ranks)
+    return _encoded(docs, "ids array<int>", lambda ids: (ids,), ranks)
 
 
 def digests(docs: DataFrame, ranks: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs(doc_id, text), on the terms of encode(); the ids needn't leave their task."""
 
-    def row_of(doc_id, ids: list[int]) -> tuple:
-        return doc_id, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, ranks)).hexdigest()
+    def row_of(ids: list[int]) -> tuple:
+        return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decode(ids, ranks)).hexdigest()
 
-    return _encoded(docs, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row_of, ranks)
+    return _encoded(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", row_of, ranks)
 
 
 def op3_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,7 +111,7 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes] | list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about SLICE_BYTES each."""
     begin = total = 0
     for k, text in enumerate(texts):
@@ -128,6 +129,29 @@ def encoded(texts: pd.Series, lower: bool = False) -> list[bytes]:
     return [t.lower() for t in out] if lower else out
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
+def map_texts(docs: DataFrame, columns: str, start: Callable[[], Callable[[list[str]], list[tuple]]]) -> DataFrame:
+    """doc_id and the given columns for each row of docs(doc_id, text): a task's start() gives the function from texts to rows of values.
+
+    Null texts come as empty ones. doc_id goes through as it is, so nulls and large numbers keep their value.
+    """
+    names = [c.split()[0] for c in columns.split(", ")]
+    kinds = [_ARROW[c.split()[1]] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        function = start()
+        for batch in batches:
+            ids, texts = batch.column("doc_id"), [t or "" for t in batch.column("text").to_pylist()]
+            for begin, end in slices(texts):
+                rows = function(texts[begin:end])
+                yield pa.RecordBatch.from_arrays([ids.slice(begin, end - begin), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", *names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, {columns}")
+
+
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     """Each text's distinct shingle hashes, sorted: SHINGLE words each; with fewer words the whole sequence as one; none without words."""
     for begin, end in slices(texts):

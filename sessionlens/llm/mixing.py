@@ -82,7 +82,7 @@ def posteriors(docs: DataFrame, weights: list[list[float]], prior: list[float])
     return sums.select("doc_id", "n_tokens", F.transform("e", lambda x: F.round(x / whole * STEPS).cast("int")).alias("p"))
 
 
-def _rate(path: list[list[float]], ahead: bool) -> Column:
+def _rate(path: list[list[float]], ahead: bool, least: float) -> Column:
     """The rate of a row with shares m after the steps whose residuals are in path; ahead: the point where the next gradient is taken."""
     if not path:
         return F.lit(1.0)
@@ -91,7 +91,7 @@ def _rate(path: list[list[float]], ahead: bool) -> Column:
 
     def move(a: Column, residual: Column) -> Column:
         slope = F.aggregate(F.zip_with("m", residual, lambda p, x: p * x), F.lit(0.0), lambda s, x: s + x) + F.lit(PULL) * (a["y"] - 1.0)
-        r = F.greatest(F.lit(0.0), a["y"] - F.lit(step) * slope)
+        r = F.greatest(F.lit(least), a["y"] - F.lit(step) * slope)
         t = a["t"] + 1.0
         return F.struct(r.alias("r"), (r + (t / (t + 3.0)) * (r - a["r"])).alias("y"), t.alias("t"))
 
@@ -99,7 +99,7 @@ def _rate(path: list[list[float]], ahead: bool) -> Column:
     return state["y"] if ahead else state["r"]
 
 
-def fit_rates(groups: DataFrame, targets: list[float], rounds: int = ROUNDS) -> tuple[list[list[float]], list[float]]:
+def fit_rates(groups: DataFrame, targets: list[float], rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], list[float]]:
     """Residuals of each step, and the totals reached as shares of all tokens. groups: m (posterior shares), n_tokens; targets: shares of all tokens."""
     k = len(targets)
     everything = groups.agg(F.sum("n_tokens")).first()[0] or 0
@@ -113,19 +113,19 @@ def fit_rates(groups: DataFrame, targets: list[float], rounds: int = ROUNDS) ->
         return [float(x or 0.0) for x in row]
 
     for _ in range(rounds):
-        residual = [s - t for s, t in zip(totals(_rate(path, True)), targets, strict=True)]
+        residual = [s - t for s, t in zip(totals(_rate(path, True, least)), targets, strict=True)]
         path.append(residual)
         if max(map(abs, residual)) < CLOSE:
             break
-    return path, totals(_rate(path, False))
+    return path, totals(_rate(path, False, least))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: list[str] | None = None) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: list[str] | None = None, least: float = 0.0) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
     """Rates of documents, and for each domain the natural, target and reached tokens as shares of all natural tokens.
 
     The first result has doc_id, n_tokens, domain (the likeliest), posterior (its), rate for each distinct doc_id of docs(doc_id, text); rows
     that share a doc_id, or have none, are one unit. Targets are weights of the mixture, whose size is the natural one, or with `grow`
-    the smallest in which none of these domains has to shrink. Null and empty texts have no tokens and the prior as posterior. With no rows
+    the smallest in which none of these domains has to shrink; no rate falls below `least`, which is 0 or more. Null and empty texts have no tokens and the prior as posterior. With no rows
     the results are empty. Domains of the labelled table without a target are left out of training. Other columns are ignored.
     """
     domains = sorted(targets)
@@ -140,9 +140,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: l
     weight = sum(targets.values())
     size = max([1.0 if not grow else 0.0, *(n * weight / targets[d] for d, n in zip(domains, natural, strict=True) if d in (grow or []) and targets[d] > 0)]) or 1.0
     wanted = [targets[d] / weight * size for d in domains]
-    path, reached = fit_rates(groups, wanted)
+    path, reached = fit_rates(groups, wanted, least=least)
     best = F.array_position("p", F.array_max("p")).cast("int")
-    out = table.withColumn("m", shares).select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(path, False).alias("rate"))
+    out = table.withColumn("m", shares).select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(path, False, least).alias("rate"))
     return out, {d: (n, t, r) for d, n, t, r in zip(domains, natural, wanted, reached, strict=True)}
 
 
@@ -150,8 +150,10 @@ def resample(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """Each row of docs floor(rate + u) times, u in [0, 1) from the hash of doc_id, so that the expected number is the rate; columns as they are."""
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.lit("copies")), F.lit(1 << 20)) / F.lit(float(1 << 20))
     copies = rates.select(F.col("doc_id").alias("_doc_id"), F.floor(F.col("rate") + u).cast("int").alias("_copies")).where("_copies > 0")
-    joined = docs.join(copies.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    # packed, so that no column of docs can clash
+    packed = docs.select(F.struct("*").alias("row"))
+    joined = packed.join(copies.hint("merge"), F.col("row.doc_id").cast("long").eqNullSafe(F.col("_doc_id")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

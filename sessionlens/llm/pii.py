@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -298,16 +298,6 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     return train(graph(texts, [base_spans(t) for t in texts]))
 
 
-def _texts(batch: pd.DataFrame) -> Iterator[tuple[int, int, list[str]]]:
-    texts = ["" if t is None or t != t else t for t in batch["text"]]
-    begin = total = 0
-    for k, t in enumerate(texts):
-        total += len(t)
-        if total > common.SLICE_BYTES or k + 1 == len(texts):
-            yield begin, k + 1, texts[begin : k + 1]
-            begin, total = k + 1, 0
-
-
 def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans for each row of docs(doc_id, text).
 
@@ -316,36 +306,31 @@ def find_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """
     field = field or fit(docs)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lo, hi, texts in _texts(batch):
-                out = []
-                for base, full in zip(*all_spans(texts, field), strict=True):
-                    counts = [sum(s[0] == k for s in base) for k in range(4)]
-                    out.append((*counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(full)))
-                frame = pd.DataFrame(out, columns=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-                frame.insert(0, "doc_id", batch["doc_id"].iloc[lo:hi].to_numpy())
-                yield frame
+    def run(texts: list[str]) -> list[tuple]:
+        return [(*(sum(s[0] == k for s in base) for k in range(4)), hashlib.sha256(joined(base).encode()).hexdigest(), joined(full)) for base, full in zip(*all_spans(texts, field), strict=True)]
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return common.map_texts(docs, "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", lambda: run)
 
 
 def redact_pii(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """docs with all spans of text redacted and n_chars, if there, set anew; null texts stay null, all other columns as they are."""
     field = field or fit(docs)
-    schema, has_size = docs.schema, "n_chars" in docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, texts in _texts(batch):
-                frame = batch.iloc[lo:hi].copy()
-                _, full = all_spans(texts, field)
-                frame["text"] = [None if old is None or old != old else redacted(t, f) for old, t, f in zip(frame["text"], texts, full, strict=True)]
-                if has_size:
-                    frame["n_chars"] = [len(t) if t is not None else n for t, n in zip(frame["text"], frame["n_chars"], strict=True)]
-                yield frame
-
-    return docs.mapInPandas(run, schema)
+            texts = batch.column("text").to_pylist()
+            new: list[str | None] = []
+            for begin, end in common.slices([t or "" for t in texts]):
+                part = [t or "" for t in texts[begin:end]]
+                new += [None if old is None else redacted(t, full) for old, t, full in zip(texts[begin:end], part, all_spans(part, field)[1], strict=True)]
+            columns = {name: batch.column(name) for name in batch.schema.names}
+            columns["text"] = pa.array(new, columns["text"].type)
+            if "n_chars" in columns:
+                sizes = [n if t is None else len(t) for t, n in zip(new, columns["n_chars"].to_pylist(), strict=True)]
+                columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_pii(spark, sf_dir: str) -> DataFrame:

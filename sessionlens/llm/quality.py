@@ -8,8 +8,6 @@ the counts. A text is kept if its posterior probability of good quality is at le
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -140,16 +138,12 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     null; with no rows the result is empty. Other columns are ignored.
     """
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            f = measures(common.encoded(batch["text"]))
-            out = f[list(MEASURES)].astype("int64")
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            out["pattern"] = patterns(f)
-            yield out
+    def measure(texts: list[str]) -> list[tuple]:
+        f = measures([t.encode("utf-8", "replace") for t in texts])
+        return list(zip(*(f[m].tolist() for m in MEASURES), patterns(f).tolist(), strict=True))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = common.written(rows.mapInPandas(measure, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", pattern int"), "measures")
+    rows = common.map_texts(docs, ", ".join(f"{m} long" for m in MEASURES) + ", pattern int", lambda: measure)
+    rows = common.written(rows, "measures")
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     # at most 3 ** len(RULES) patterns
     counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("pattern").agg(F.count_if(~failed), F.count(F.lit(1))).collect()}

@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -252,28 +252,29 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     null; other columns are ignored.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of examples
+    return common.map_texts(docs, "score double, predicted int, evidence string", lambda: _scorer(held.value))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        reader = Vectors(known.vocabulary)
-        for batch in batches:
-            out = [known.score(reader.numbers("" if t is None or t != t else t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _ in out], "predicted": [int(s >= 0.5) for s, _ in out], "evidence": [e for _, e in out]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, score double, predicted int, evidence string")
+def _scorer(model: Model):
+    reader = Vectors(model.vocabulary)
+
+    def run(texts: list[str]) -> list[tuple]:
+        scores = [model.score(reader.numbers(t)) for t in texts]
+        return [(s, int(s >= 0.5), evidence) for s, evidence in scores]
+
+    return run
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, all columns as they are, that score below the threshold."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = held.value
-        reader = Vectors(known.vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score_all = _scorer(held.value)
         for batch in batches:
-            yield batch[[known.score(reader.numbers("" if t is None or t != t else t))[0] < threshold for t in batch["text"]]]
+            yield batch.filter(pa.array([s < threshold for s, _, _ in score_all([t or "" for t in batch.column("text").to_pylist()])], pa.bool_()))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
