@@ -293,7 +293,10 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """The field's weights from a bounded sample of docs(doc_id, text)."""
-    rows = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"), "text").limit(train_docs).collect()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    # ids first: at most train_docs numbers, and then only their texts
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs).distinct()
+    rows = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     texts = [r[1] for r in rows]
     return train(graph(texts, [base_spans(t) for t in texts]))
 
