@@ -67,6 +67,20 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread_by
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
+def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, spread_by: str, most: int = 4096, salts: int = 64) -> DataFrame:
+    """left JOIN right, which has one row a key, with the rows of large keys dealt to `salts` tasks.
+
+    sizes has the key and n, its number of rows in left. Large are keys with over one in `most` rows, so there are fewer than
+    `most` of them, and they are broadcast; the sides themselves, which grow with the input, never are.
+    """
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = F.broadcast(sizes.where(F.col("n") > max(1_000, total // most)).select(on, F.lit(True).alias("_large")))
+    left = left.join(large, on, "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_large")
+    copies = F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = right.join(large, on, "left").withColumn("_salt", F.explode(copies)).drop("_large")
+    return left.join(right.hint("merge"), [on, "_salt"]).drop("_salt")
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A finaliser with full avalanche (the splitmix64 constants)."""
     x = (x ^ (x >> np.uint64(30))) * _MIX1

@@ -196,8 +196,9 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     for row in classes.select("sig").mapInPandas(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[row[0]] = row[1]
     posts = common.written(classes.select("rep", "sig").mapInPandas(_poster(counts, prefix), "token long, rep long, earlier long"), "posts")
-    lists = posts.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
-    members = posts.join(lists, "token").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    lists = common.written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    blocks = lists.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    members = common.spread_join(posts, blocks, "token", lists, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("token", "rep", "earlier", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(classes.select("rep", "sig"), "rep")
     by = ["token", "low", "high"]
