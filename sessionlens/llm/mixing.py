@@ -24,7 +24,7 @@ BUCKETS = 4096
 #: The evidence of a long text counts as that of so many words, which keeps memberships soft.
 EVIDENCE = 40
 STEPS = 64
-ROUNDS, PULL, CLOSE = 40, 1e-4, 1e-5
+ROUNDS, PULL, CLOSE = 24, 1e-4, 1e-4
 #: The registered query's domains: rows labelled as low quality, else their language.
 TARGETS = {"en": 0.58, "de": 0.15, "fr": 0.15, "es": 0.11, "low": 0.01}
 
@@ -82,11 +82,10 @@ def posteriors(docs: DataFrame, weights: list[list[float]], prior: list[float])
     return sums.select("doc_id", "n_tokens", F.transform("e", lambda x: F.round(x / whole * STEPS).cast("int")).alias("p"))
 
 
-def _rate(path: list[list[float]], ahead: bool, least: float) -> Column:
+def _rate(path: list[list[float]], ahead: bool, least: float, step: float) -> Column:
     """The rate of a row with shares m after the steps whose residuals are in path; ahead: the point where the next gradient is taken."""
     if not path:
         return F.lit(1.0)
-    step = 1.0 / (1.0 + PULL)
     start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(0.0).alias("t"))
 
     def move(a: Column, residual: Column) -> Column:
@@ -99,7 +98,7 @@ def _rate(path: list[list[float]], ahead: bool, least: float) -> Column:
     return state["y"] if ahead else state["r"]
 
 
-def fit_rates(groups: DataFrame, targets: list[float], rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], list[float]]:
+def fit_rates(groups: DataFrame, targets: list[float], step: float, rounds: int = ROUNDS, least: float = 0.0) -> tuple[list[list[float]], list[float]]:
     """Residuals of each step, and the totals reached as shares of all tokens. groups: m (posterior shares), n_tokens; targets: shares of all tokens."""
     k = len(targets)
     everything = groups.agg(F.sum("n_tokens")).first()[0] or 0
@@ -113,11 +112,11 @@ def fit_rates(groups: DataFrame, targets: list[float], rounds: int = ROUNDS, lea
         return [float(x or 0.0) for x in row]
 
     for _ in range(rounds):
-        residual = [s - t for s, t in zip(totals(_rate(path, True, least)), targets, strict=True)]
+        residual = [s - t for s, t in zip(totals(_rate(path, True, least, step)), targets, strict=True)]
         path.append(residual)
         if max(map(abs, residual)) < CLOSE:
             break
-    return path, totals(_rate(path, False, least))
+    return path, totals(_rate(path, False, least, step))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: list[str] | None = None, least: float = 0.0) -> tuple[DataFrame, dict[str, tuple[float, float, float]]]:
@@ -133,16 +132,18 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: l
     table = common.written(posteriors(docs, weights, prior), "posteriors")
     whole = F.greatest(F.lit(1), F.aggregate("p", F.lit(0), lambda a, x: a + x))
     shares = F.transform("p", lambda x: x / whole)
-    groups = common.written(table.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("m", shares), "groups").coalesce(8)
+    groups = common.written(table.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("m", shares), "groups").coalesce(4)
     row = groups.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col("m")[i]) for i in range(len(domains)))).first()
     everything = float(row[0] or 0)
     natural = [float(x or 0) / max(1.0, everything) for x in row[1:]]
     weight = sum(targets.values())
     size = max([1.0 if not grow else 0.0, *(n * weight / targets[d] for d, n in zip(domains, natural, strict=True) if d in (grow or []) and targets[d] > 0)]) or 1.0
     wanted = [targets[d] / weight * size for d in domains]
-    path, reached = fit_rates(groups, wanted, least=least)
+    # the largest share bounds the curvature: each row of the memberships' second moments adds up to its domain's share
+    step = 1.0 / (max([*natural, 1e-3]) + PULL)
+    path, reached = fit_rates(groups, wanted, step, least=least)
     best = F.array_position("p", F.array_max("p")).cast("int")
-    out = table.withColumn("m", shares).select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(path, False, least).alias("rate"))
+    out = table.withColumn("m", shares).select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(path, False, least, step).alias("rate"))
     return out, {d: (n, t, r) for d, n, t, r in zip(domains, natural, wanted, reached, strict=True)}
 
 
