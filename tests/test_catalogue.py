@@ -19,7 +19,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value or str(value) == "<NA>":
+    if value is None or str(value) in ("<NA>", "nan", "NaT"):
         return "null"
     if isinstance(value, bool) or hasattr(value, "dtype") and value.dtype.kind == "b":
         return str(bool(value))
