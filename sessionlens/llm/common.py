@@ -47,11 +47,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors."""
+def written_at(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, which cuts lineage and survives lost executors; and its path."""
     path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, what: str) -> DataFrame:
+    return written_at(df, what)[0]
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
