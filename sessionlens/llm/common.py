@@ -129,6 +129,17 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
+def long_window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """As window_hashes, from running sums, so that the cost doesn't grow with size."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    powers, inverse = _power_tables(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(mix64(hashes) * powers[: len(hashes)], out=total[1:])
+    return mix64((total[size:] - total[:n]) * inverse[:n])
+
+
 def slices(texts: list[bytes] | list[str]) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts of about SLICE_BYTES each."""
     begin = total = 0
