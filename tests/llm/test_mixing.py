@@ -37,6 +37,27 @@ def test_rates_meet_targets_and_equal_numpy(spark):
     assert max(abs(got[r["doc_id"]]["rate"] - w) for r, w in zip(table, want, strict=True)) < 0.02
 
 
+def test_rare_domains_settle(spark):
+    rng = np.random.default_rng(3)
+    n = rng.integers(50, 2000, 400).astype(float)
+    m = np.zeros((400, 3))
+    m[:, 0] = rng.integers(40, 64, 400) / 64
+    m[:, 1] = 1 - m[:, 0]
+    m[:3] = [[0.1, 0.1, 0.8], [0.2, 0.05, 0.75], [0.0, 0.1, 0.9]]
+    n[:3] = 150
+    assert (n @ m / n.sum())[2] < 0.002
+    groups = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(m, n, strict=True)], "m array<double>, n_tokens bigint").coalesce(1)
+    for least in (0.0, 1.0):
+        wanted = np.array([0.6, 0.36, 0.04]) * (1.5 if least else 1.0)
+        pulls, reached = mixing.fit_rates(groups, wanted.tolist(), least)
+        rate = np.maximum(least, 1 - m @ np.array(pulls) / mixing.PULL)
+        totals = (rate * n) @ m / n.sum()
+        # no rate can still improve: its slope is 0, or it is at the bound and would fall
+        slope = m @ (totals - wanted) + mixing.PULL * (rate - 1)
+        assert np.abs(slope[rate > least]).max() < 1e-6 and (slope[rate <= least] > -1e-6).all()
+        assert abs(totals - reached).max() < 1e-6 and reached[2] > 0.85 * wanted[2]  # the pull to 1 keeps the optimum itself 10 % short
+
+
 def test_posteriors_equal_plain_bayes(spark):
     weights = [[math.log(1 + (b % 7)) - 3 for b in range(mixing.BUCKETS)], [math.log(1 + (b % 5)) - 3 for b in range(mixing.BUCKETS)]]
     rows = [(1, "a b  c\n"), (BIG, "x " * 100), (3, None)]
