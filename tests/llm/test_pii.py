@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from helpers import BIG, docs, odd_rows
 
 from sessionlens.llm import pii
@@ -55,6 +56,28 @@ def test_messages_pass_over_skip_edges():
     assert pii.posteriors(g, field)[:, 3].min() > 0.5
 
 
+def test_labels_reach_all_mentions():
+    w = pii.Field(np.zeros((pii.N_FEATURES, len(pii.LABELS))), np.zeros((5, 5)), 10 * np.eye(5))
+    for written in (0, 20, 39):
+        mentions = ["5550-1771-23"] * 40
+        text = " x ".join(mentions)
+        start = text.index(" x ") * written + 3 * written
+        g = pii.graph([text], [[(3, start, start + 12)]])
+        assert (g.seen >= 0).sum() == 1 and g.seen[written] == 4 and len(g.skip) == 39
+        assert pii.posteriors(g, w)[:, 4].min() > 0.99
+
+
+def test_long_chains_settle():
+    # no repeated token: a label walks along neighbours alone
+    w = pii.Field(np.zeros((pii.N_FEATURES, len(pii.LABELS))), 10 * np.eye(5), np.eye(5))
+    text = " ".join(f"{k:03d}" for k in range(60))
+    g = pii.graph([text, "17 18"], [[(3, 0, 3)], []])
+    assert len(g.skip) == 0 and len(g.chain) == 60
+    # the exact marginals of a chain
+    ratio = (np.exp(10) - 1) / (np.exp(10) + 4)
+    assert np.abs(pii.posteriors(g, w)[:60, 4] - (0.2 + 0.8 * ratio ** np.arange(60))).max() < 1e-3
+
+
 def test_redaction_keeps_other_columns(spark):
     rows = [(None, f"a {CARD} b"), (BIG, None), (3, "clean")]
     got = {r["doc_id"]: r for r in pii.redact_pii(docs(spark, rows)).collect()}
