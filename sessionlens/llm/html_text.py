@@ -18,6 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -133,24 +134,8 @@ def lines(source: str) -> list[Line]:
     return out
 
 
-def shared(a: list[str], b: list[str]) -> set[int]:
-    """Positions in a of a longest common subsequence with b, from the matching pairs; where these are more than MOST_MATCHES, of lines that are the only ones of their kind on both sides."""
-    lo = 0
-    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
-        lo += 1
-    hi = 0
-    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
-        hi += 1
-    keep = set(range(lo)) | set(range(len(a) - hi, len(a)))
-    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
-    places: dict[str, list[int]] = {}
-    for k, line in enumerate(b):
-        places.setdefault(line, []).append(k)
-    if sum(len(places.get(line, ())) for line in a) > MOST_MATCHES:
-        times: dict[str, int] = {}
-        for line in a:
-            times[line] = times.get(line, 0) + 1
-        places = {line: p for line, p in places.items() if len(p) == 1 and times.get(line) == 1}
+def _by_pairs(a: list[int], places: dict[int, list[int]]) -> list[int]:
+    """Positions in a of a longest common subsequence, from the matching pairs; places: each line's positions in b."""
     ends: list[int] = []  # smallest last position in b of a common subsequence of each length
     nodes: list[tuple[int, tuple | None]] = []
     for k, line in enumerate(a):
@@ -162,10 +147,46 @@ def shared(a: list[str], b: list[str]) -> set[int]:
                 nodes.append(node)
             else:
                 ends[size], nodes[size] = p, node
+    out = []
     node = nodes[-1] if nodes else None
     while node:
-        keep.add(lo + node[0])
+        out.append(node[0])
         node = node[1]
+    return out
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of a and b[:j], for j from 0 to len(b)."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for line in a:
+        row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + (b == line)))
+    return row
+
+
+def shared(a: list[str], b: list[str]) -> set[int]:
+    """Positions in a of a longest common subsequence with b, from the matching pairs; where these are more than MOST_MATCHES, a is halved and b cut where both halves share most (Hirschberg), which takes linear memory."""
+    lo = 0
+    while lo < min(len(a), len(b)) and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    keep = set(range(lo)) | set(range(len(a) - hi, len(a)))
+    numbers: dict[str, int] = {}
+    whole_a, whole_b = ([numbers.setdefault(line, len(numbers)) for line in x[lo : len(x) - hi]] for x in (a, b))
+    todo = [(lo, whole_a, whole_b)]
+    while todo:
+        start, a, b = todo.pop()
+        places: dict[int, list[int]] = {}
+        for k, line in enumerate(b):
+            places.setdefault(line, []).append(k)
+        if len(a) > 1 and sum(len(places.get(line, ())) for line in a) > MOST_MATCHES:
+            half = len(a) // 2
+            first, second, other = np.array(a[:half]), np.array(a[half:]), np.array(b)
+            cut = int((_lengths(first, other) + _lengths(second[::-1], other[::-1])[::-1]).argmax())
+            todo += [(start, a[:half], b[:cut]), (start + half, a[half:], b[cut:])]
+        else:
+            keep.update(start + k for k in _by_pairs(a, places))
     return keep
 
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from sessionlens.llm import html_text
 
 SCHEMA = "page_id bigint, url string, html string, host string, path string"
@@ -49,3 +50,17 @@ def test_differencing_without_articles(spark):
     assert len(got) == len(rows) and text[1] == "first" and text[5] == text[6] == ""
     assert text[3] == "Site name\nalone\nAll rights" and text[7] == "Head & more\nbold\none two three"
     assert all(r["n_chars"] == len(r["text"]) for r in got) and html_text.extract(pages(spark, [])).count() == 0
+
+
+def test_many_matches_align_too(monkeypatch):
+    a, b = ["x"] * 1100 + ["a"] + ["y", "x"] * 20, ["b"] + ["x"] * 1100 + ["c"] + ["x", "y"] * 20
+    assert sum(line == other for line in a for other in b) > html_text.MOST_MATCHES
+    assert len(html_text.shared(a, b)) == html_text._lengths(np.array(a), np.array(b))[-1] > 1100
+    rng = np.random.default_rng(0)
+    cases = [tuple([str(k) for k in rng.integers(0, 4, int(rng.integers(0, 40)))] for _ in range(2)) for _ in range(200)]
+    whole = [len(html_text.shared(a, b)) for a, b in cases]
+    monkeypatch.setattr(html_text, "MOST_MATCHES", 5)
+    for (a, b), n in zip(cases, whole, strict=True):
+        found = html_text.shared(a, b)
+        it = iter(b)
+        assert len(found) == n and all(any(a[k] == line for line in it) for k in sorted(found))
