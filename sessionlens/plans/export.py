@@ -8,19 +8,29 @@ from pyspark.sql import functions as F
 from ..sources.adapter import Telemetry
 
 CHILDREN = {
-    "api_requests": ("ts_ms", "id", "model", "input_tokens", "output_tokens"),
+    "api_requests": ("ts_ms", "id", "model", "input_tokens", "output_tokens", "cache_read", "cache_creation", "cost_usd", "duration_ms", "is_error", "status_code"),
     "tool_decisions": ("ts_ms", "id", "tool_name", "decision", "source"),
-    "tool_results": ("ts_ms", "id", "tool_name", "success", "duration_ms"),
+    "tool_results": ("ts_ms", "id", "tool_name", "success", "duration_ms", "bash_command", "mcp_server"),
     "events": ("ts_ms", "id", "name"),
 }
+#: The session's texts; empty where the session table lacks them.
+TEXTS = ("app_version", "model_set", "user_email", "org_id", "token_source")
 
 
 def export(t: Telemetry) -> DataFrame:
     """id and JSON document of each session: the session, and its children in order of (ts, id), never null."""
-    out = t.sessions.select("id", F.struct("id", "first_seen", "last_seen", "model_set").alias("session"))
+    sessions = t.sessions
+    texts = [(F.coalesce(c, F.lit("")) if c in sessions.columns else F.lit("")).alias(c) for c in TEXTS]
+    flag = F.col("has_events") if "has_events" in sessions.columns else F.lit(None).cast("boolean")
+    out = sessions.select("id", F.struct("id", "first_seen", "last_seen", *texts, flag.alias("has_events")).alias("session"))
     for name, columns in CHILDREN.items():
         child = getattr(t, name).groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
         out = out.join(child.withColumnRenamed("session_id", "id"), "id", "left").withColumn(name, F.coalesce(F.col(name), F.array()))
+    # where the session table doesn't say so, a session with any child from a log record has events
+    some = F.lit(False)
+    for name in CHILDREN:
+        some = some | (F.size(name) > 0)
+    out = out.withColumn("session", F.col("session").withField("has_events", F.coalesce("session.has_events", some)))
     return out.select("id", F.to_json(F.struct("session", *CHILDREN)).alias("document"))
 
 
