@@ -1,16 +1,20 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are lower-cased words and their beginnings of 4 to 7 letters, each also as "at least 2 (4, 8) times in the text". The
-vocabulary holds the terms that go with the label among the examples by a log-likelihood ratio of CHOOSE; a vector is their binary
-presence times inverse document frequency, at unit length. Examples are cut into blocks by number; for each term the index holds its
-postings and the largest weight in each block. A search adds up the blocks' upper bounds and scores blocks from the largest bound
-down, until no bound beats the k-th cosine found. So neighbours are exact; ties go to the smaller example number.
+Terms are all lower-cased words and their beginnings of 4 to 7 letters that FLOOR examples hold; the label picks none. A text's
+vector has 1 + log of each term's count times the term's weight, at unit length. The weight is the inverse document frequency; a term whose
+log odds of the label are above 0 by SURE standard errors counts (1 + RAISE * that margin) times as much, all others as they are.
 
-Votes are weighted by 1 / (distance + SOFT) and by what an example stands for in all labelled rows, then put through a logistic curve
-fitted on the examples' own leave-one-out votes. Texts without any term have no neighbour; they score as examples without any.
+Examples are laid out so that similar ones share a block. For each block the index holds the postings by term, and for each term its
+largest value in each block. A search adds up the blocks' upper bounds and scores blocks from the largest bound down, until
+no bound beats the k-th cosine found. So neighbours are exact; ties go to the smaller example number.
+
+Votes are weighted by 1 / (distance + SOFT) and by what an example stands for in all labelled rows, then put through a logistic curve.
+Odds are counted on one half of the examples, the curve is fitted on the leave-one-out votes of the other half, whose labels
+raised no term. Texts without any term have no neighbour; they score as the labelled rows do on the whole.
 
 Examples are a bounded sample of labelled rows: MOST_TOXIC and MOST_OTHER rows at most, those with the smallest hash of doc_id, of the
-rows that may be learned from (crc32 of doc_id mod 5 isn't 0). Class sizes count over all those rows.
+rows that may be learned from (crc32 of doc_id mod 5 isn't 0) with texts of at most MOST_CHARS. Class sizes count over all rows that may be
+learned from. Texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,22 +31,25 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_TOXIC, MOST_OTHER = 1_500, 3_000
-CHOOSE = 30.0
+MOST_TOXIC, MOST_OTHER, MOST_CHARS = 1_500, 3_000, 20_000
+FLOOR = 10
+SURE, RAISE = 2.5, 8.0
 NEIGHBOURS, SOFT = 15, 0.05
-BLOCK, AT_ONCE = 64, 8
-TIMES = (1, 2, 4, 8)
+BLOCK, AT_ONCE = 64, 6
 PREFIXES = (4, 5, 6, 7)
+#: Words and scores that a task remembers.
 REMEMBER = 100_000
 _STRIP = "\"'.,;:!?#*$%&|<>()[]{}=_-+/\\~`^@…“”„«»‚‘’¿¡"
 
+Row = tuple[np.ndarray, np.ndarray]  # term numbers, ascending, and 1 + log of their counts
+
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
 def stems(word: str) -> tuple[str, ...]:
-    """A word's terms before counting."""
+    """A word's terms."""
     word = word.strip(_STRIP)
     if not word:
         return ()
@@ -51,85 +57,111 @@ def stems(word: str) -> tuple[str, ...]:
 
 
 class Vectors:
-    """Texts to sets of term numbers."""
+    """Texts to counted term numbers."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary = vocabulary
-        self.bases = {t.rpartition(" ")[0] for t in vocabulary}
-        self.gate = {b.rstrip("~")[: PREFIXES[0]] for b in self.bases}  # most words end here
-        self.known: dict[str, tuple[str, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def _stems(self, word: str) -> tuple[str, ...]:
+    def _numbers(self, word: str) -> tuple[int, ...]:
         if len(self.known) >= REMEMBER:
             self.known.clear()
-        found = self.known[word] = tuple(s for s in stems(word) if s in self.bases)
+        numbers = (self.vocabulary.get(s) for s in stems(word))
+        found = self.known[word] = tuple(n for n in numbers if n is not None)
         return found
 
-    def numbers(self, text: str) -> list[int]:
-        counts: dict[str, int] = {}
-        gate, known, first = self.gate, self.known, PREFIXES[0]
-        for word in text.lower().split():
-            if word[:first] in gate or word[0] in _STRIP and word.lstrip(_STRIP)[:first] in gate or len(word) <= first + 3 and word.strip(_STRIP) in gate:
-                found = known.get(word)
-                for stem in self._stems(word) if found is None else found:
-                    counts[stem] = counts.get(stem, 0) + 1
-        numbers = (self.vocabulary.get(f"{stem} {t}") for stem, n in counts.items() for t in TIMES if n >= t)
-        return sorted(v for v in numbers if v is not None)
+    def row(self, text: str) -> Row:
+        counts: dict[int, int] = {}
+        known = self.known
+        for word, n in Counter(text.lower().split()).items():
+            found = known.get(word)
+            for number in self._numbers(word) if found is None else found:
+                counts[number] = counts.get(number, 0) + n
+        numbers = np.fromiter(counts, np.int64, len(counts))
+        order = np.argsort(numbers)
+        return numbers[order], 1 + np.log(np.fromiter(counts.values(), float, len(counts)))[order]
+
+
+def _layout(rows: list[Row], weights: np.ndarray) -> np.ndarray:
+    """An order of the examples in which similar ones are near: halved again and again along the line between two far ones, seen in a random projection."""
+    directions = np.random.default_rng(1).standard_normal((len(weights), 48)).astype(np.float32)
+    points = np.zeros((len(rows), 48), np.float32)
+    for k, (terms, counts) in enumerate(rows):
+        if len(terms):
+            v = counts * weights[terms]
+            points[k] = (v / np.sqrt(v @ v)) @ directions[terms]
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        some = todo.pop()
+        if len(some) <= BLOCK:
+            out.append(some)
+            continue
+        x = points[some]
+        a = x[((x - x.mean(0)) ** 2).sum(1).argmax()]
+        b = x[((x - a) ** 2).sum(1).argmax()]
+        order = np.argsort(x @ (b - a), kind="stable")
+        half = -(-len(some) // 2 // BLOCK) * BLOCK  # whole blocks
+        todo += [some[order[half:]], some[order[:half]]]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors: each term's postings, and its largest weight in each block."""
+    """Block-max inverted index of unit vectors."""
 
-    weights: np.ndarray  # idf by term
-    terms: np.ndarray  # of each posting: term, example, weight
-    examples: np.ndarray
+    weights: np.ndarray  # of each term
+    numbers: np.ndarray  # example number of each place
+    starts: np.ndarray  # block x (terms + 1): where a term's postings in a block begin
+    places: np.ndarray  # of each posting, in order of block, term and place: place in the block, value
     values: np.ndarray
     tops: np.ndarray  # term x block
-    size: int
 
     @classmethod
-    def of(cls, rows: list[list[int]], n_terms: int) -> Index:
-        terms = np.array([t for row in rows for t in row], np.int64)
-        examples = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        weights = np.log((1 + len(rows)) / (1 + np.bincount(terms, minlength=n_terms))) + 1
-        lengths = np.sqrt(np.bincount(examples, weights[terms] ** 2, minlength=len(rows)))
-        values = weights[terms] / lengths[examples]
-        tops = np.zeros((n_terms, max(1, -(-len(rows) // BLOCK))))
-        np.maximum.at(tops, (terms, examples // BLOCK), values)
-        return cls(weights, terms, examples, values, tops, len(rows))
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "blocks"}
-
-    @cached_property
-    def blocks(self) -> np.ndarray:
-        """The postings laid out by block, term and place in the block."""
-        out = np.zeros((self.tops.shape[1], len(self.weights), BLOCK))
-        out[self.examples // BLOCK, self.terms, self.examples % BLOCK] = self.values
-        return out
-
-    def search(self, row: list[int], k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, best first; `without` is left out."""
-        if not row:
+    def of(cls, rows: list[Row], weights: np.ndarray) -> Index:
+        numbers = _layout(rows, weights)
+        blocks = max(1, -(-len(rows) // BLOCK))
+        laid = [rows[n] for n in numbers]
+        terms = np.concatenate([t for t, _ in laid]) if laid else np.empty(0, np.int64)
+        place = np.repeat(np.arange(len(laid)), [len(t) for t, _ in laid])
+        values = (np.concatenate([c for _, c in laid]) if laid else np.empty(0)) * weights[terms]
+        values = values / np.sqrt(np.bincount(place, values**2, minlength=len(laid)))[place]
+        block = place // BLOCK
+        order = np.lexsort((place, terms, block))
+        key = block[order] * len(weights) + terms[order]
+        starts = np.searchsorted(key, (np.arange(blocks) * len(weights))[:, None] + np.arange(len(weights) + 1)[None, :]).astype(np.int32)
+        tops = np.zeros((len(weights), blocks))
+        np.maximum.at(tops, (terms, block), values)
+        return cls(weights, numbers, starts, (place % BLOCK)[order].astype(np.int16), values[order], tops)
+
+    def search(self, row: Row, k: int, without: int = -1) -> list[tuple[float, int]]:
+        """The k examples of largest cosine above 0, best first; the example `without` is left out."""
+        terms, counts = row
+        if not len(terms):
             return []
-        q = self.weights[row]
+        q = counts * self.weights[terms]
         q = q / math.sqrt(float(q @ q))
-        bounds = q @ self.tops[row]
+        bounds = q @ self.tops[terms]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         scores, numbers = np.empty(0), np.empty(0, np.int64)
         least = 0.0
         for begin in range(0, len(order), AT_ONCE):
-            some = order[begin : begin + AT_ONCE]
             # cosines are compared at 12 digits, so equal ones tie whatever order they were added in
+            some = order[begin : begin + AT_ONCE]
             some = some[bounds[some] + 1e-9 >= least]
             if not len(some):
                 break
-            found = np.round(np.einsum("t,btx->bx", q, self.blocks[some[:, None], row]), 12).ravel()
-            places = (some[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            hits = np.flatnonzero((found > 0) & (found >= least) & (places != without))
-            scores, numbers = np.concatenate((scores, found[hits])), np.concatenate((numbers, places[hits]))
+            first = self.starts[some[:, None], terms].ravel()
+            sizes = self.starts[some[:, None], terms + 1].ravel() - first
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)
+            lane = np.repeat(np.arange(len(some)) * BLOCK, sizes.reshape(len(some), -1).sum(1))
+            found = np.bincount(self.places[at] + lane, self.values[at] * np.repeat(np.tile(q, len(some)), sizes), minlength=len(some) * BLOCK)
+            found = np.round(found, 12)
+            hits = np.flatnonzero((found > 0) & (found >= least))
+            names = self.numbers[some[hits // BLOCK] * BLOCK + hits % BLOCK]
+            hits, names = hits[names != without], names[names != without]
+            scores, numbers = np.concatenate((scores, found[hits])), np.concatenate((numbers, names))
             if len(scores) > k:
                 best = np.lexsort((numbers, -scores))[:k]
                 scores, numbers = scores[best], numbers[best]
@@ -150,18 +182,19 @@ class Model:
     curve: tuple[float, float] = (4.0, -2.0)
     seen: dict = field(default_factory=dict)
 
-    def vote(self, row: list[int], without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+    def vote(self, row: Row, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
+        """The share of weight that votes for the label, -1 without neighbours; and the neighbours."""
         near = self.index.search(row, NEIGHBOURS, without)
         if not near:
             return -1.0, near
         w = np.array([self.stands_for[n] / (1 - s + SOFT) for s, n in near])
         return float((w * self.labels[[n for _, n in near]]).sum() / w.sum()), near
 
-    def score(self, row: list[int]) -> tuple[float, str]:
+    def score(self, row: Row) -> tuple[float, str]:
         """Score, and the evidence: nearest examples as doc_id:label:cosine."""
-        key = tuple(row)
+        key = row[0].tobytes() + row[1].tobytes()
         if key not in self.seen:
-            if len(self.seen) >= REMEMBER // 4:
+            if len(self.seen) >= REMEMBER // 10:
                 self.seen.clear()
             share, near = self.vote(row)
             score = self.without_terms if share < 0 else 1 / (1 + math.exp(-(self.curve[0] * share + self.curve[1])))
@@ -169,24 +202,11 @@ class Model:
         return self.seen[key]
 
 
-def _ratio(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> np.ndarray:
-    """Log-likelihood ratio of a term's document counts in two classes."""
-
-    def part(x, total):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(total, 1e-9)), 0.0)
-
-    p = (a + b) / (n_a + n_b)
-    return 2 * (part(a, n_a * p) + part(n_a - a, n_a * (1 - p)) + part(b, n_b * p) + part(n_b - b, n_b * (1 - p)))
-
-
-def _chosen(counts: tuple[Counter, Counter], n: np.ndarray) -> list[str]:
-    """Terms of at least 4 examples that go with the label, by a ratio of CHOOSE or more."""
-    names = sorted(t for t, c in counts[1].items() if c + counts[0][t] >= 4)
-    if 0 in n or not names:
-        return []
-    without, having = (np.array([c[t] for t in names], float) for c in counts)
-    good = (having / n[1] > without / n[0]) & (_ratio(without, having, *n) >= CHOOSE)
-    return [names[k] for k in np.flatnonzero(good)]
+def odds_margin(having: np.ndarray, without: np.ndarray, n_having: int, n_without: int) -> np.ndarray:
+    """How far a term's log odds of the label are above 0 beyond SURE standard errors; document counts in both classes."""
+    cells = [having + 0.5, n_having - having + 0.5, without + 0.5, n_without - without + 0.5]
+    logs = np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3])
+    return np.maximum(0.0, logs - SURE * np.sqrt(sum(1 / c for c in cells)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -207,51 +227,52 @@ def fit_examples(texts: list[str], labels: list[int], doc_ids: list[int], totals
     """A model of the examples; totals: rows without and with the label that the examples stand for."""
     y = np.array(labels, np.int64)
     n = np.array([(y == 0).sum(), (y == 1).sum()])
-    counts: tuple[Counter, Counter] = Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        counts[label].update({s for word in set(text.lower().split()) for s in stems(word)})
-    first = {f"{s} 1": k for k, s in enumerate(_chosen(counts, n))}
-    again = (Counter(), Counter())
-    reader = Vectors(first | {f"{s.rpartition(' ')[0]} {t}": k + len(first) * i for s, k in first.items() for i, t in enumerate(TIMES)})
-    names = {k: t for t, k in reader.vocabulary.items()}
-    found = [[names[k] for k in reader.numbers(t)] for t in texts]
-    for terms, label in zip(found, labels, strict=True):
-        again[label].update(terms)
-    vocabulary = {t: number for number, t in enumerate(_chosen(again, n))}
-    rows = [sorted(vocabulary[t] for t in f if t in vocabulary) for f in found]
+    sets = [{s for word in set(t.lower().split()) for s in stems(word)} for t in texts]
+    frequency = Counter(s for terms in sets for s in terms)
+    names = sorted(s for s, c in frequency.items() if c >= FLOOR)
+    vocabulary = {s: k for k, s in enumerate(names)}
+    # halves by the order of a hash, each class by itself
+    half = np.zeros(len(y), bool)
+    for label in (0, 1):
+        own = np.flatnonzero(y == label)
+        half[own[np.argsort(common.mix64(np.array([doc_ids[k] for k in own], np.int64).view(np.uint64)), kind="stable")[::2]]] = True
+    held: list[np.ndarray] = []
+    for label in (0, 1):
+        counts = Counter(s for k in np.flatnonzero(half & (y == label)) for s in sets[k])
+        held.append(np.array([counts[s] for s in names], float))
+    weights = np.log((1 + len(y)) / (1 + np.array([frequency[s] for s in names], float))) + 1
+    weights *= 1 + RAISE * odds_margin(held[1], held[0], int((half & (y == 1)).sum()), int((half & (y == 0)).sum()))
+    reader = Vectors(vocabulary)
+    rows = [reader.row(t) for t in texts]
     stands_for = (np.array(totals, float) / np.maximum(n, 1))[y] if len(y) else np.empty(0)
-    empty = np.array([not r for r in rows], bool)
-    without_terms = float((stands_for * y)[empty].sum() / (stands_for[empty].sum() + 1)) if empty.any() else totals[1] / max(1, sum(totals))
-    model = Model(vocabulary, Index.of(rows, len(vocabulary)), y, stands_for, np.array(doc_ids, np.int64), without_terms)
-    votes = np.array([model.vote(r, k)[0] if r else -1.0 for k, r in enumerate(rows)])
+    model = Model(vocabulary, Index.of(rows, weights), y, stands_for, np.array(doc_ids, np.int64), totals[1] / max(1, sum(totals)))
+    votes = np.array([-1.0 if half[k] else model.vote(r, k)[0] for k, r in enumerate(rows)])
     used = votes >= 0
     if used.any() and 0 < y[used].mean() < 1:
         model.curve = _logistic(votes[used], y[used].astype(float), stands_for[used] / stands_for[used].mean())
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_other: int = MOST_OTHER, most_chars: int = MOST_CHARS) -> Model:
     """A model from docs(doc_id, text) and labels(doc_id, toxic). Of several labels of one doc_id the largest counts, of several texts the smallest; nulls are left out."""
     labels = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r[0]: r[1] for r in labels.groupBy("toxic").agg(F.count(F.lit(1))).collect()}
-    pick = lambda c, n: labels.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    chosen = pick(1, most_toxic).union(pick(0, most_other))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
+    short = labels.join(texts.select("doc_id").distinct(), "doc_id")
+    pick = lambda c, n: short.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     # at most most_toxic + most_other rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").collect()
-    texts: dict[int, tuple[str, int]] = {}
-    for r in rows:
-        texts[r["doc_id"]] = min(texts.get(r["doc_id"], (r["text"], r["toxic"])), (r["text"], r["toxic"]))
-    ids = sorted(texts)
-    return fit_examples([texts[d][0] for d in ids], [int(texts[d][1]) for d in ids], ids, (totals.get(0, 0), totals.get(1, 0)))
+    chosen = F.broadcast(pick(1, most_toxic).union(pick(0, most_other)))
+    rows = texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).orderBy("doc_id").collect()
+    return fit_examples([r["text"] for r in rows], [int(r["toxic"]) for r in rows], [r["doc_id"] for r in rows], (totals.get(0, 0), totals.get(1, 0)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, evidence for each row of docs(doc_id, text).
 
-    Null and empty texts have no neighbour and score as examples without terms. A repeated row gives a row each time; doc_id may be
+    Null and empty texts have no neighbour and score as the labelled rows on the whole. A repeated row gives a row each time; doc_id may be
     null; other columns are ignored.
     """
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of examples
+    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the examples' number and length
     return common.map_texts(docs, "score double, predicted int, evidence string", lambda: _scorer(held.value))
 
 
@@ -259,7 +280,7 @@ def _scorer(model: Model):
     reader = Vectors(model.vocabulary)
 
     def run(texts: list[str]) -> list[tuple]:
-        scores = [model.score(reader.numbers(t)) for t in texts]
+        scores = [model.score(reader.row(t)) for t in texts]
         return [(s, int(s >= 0.5), evidence) for s, evidence in scores]
 
     return run

@@ -6,19 +6,41 @@ from sessionlens.llm import toxicity
 
 def test_search_equals_brute_force():
     rng = np.random.default_rng(0)
-    rows = [sorted(set(rng.integers(0, 40, rng.integers(0, 8)).tolist())) for _ in range(700)]
-    index = toxicity.Index.of(rows, 40)
+    sets = [np.array(sorted(set(rng.integers(0, 40, rng.integers(0, 8)).tolist())), np.int64) for _ in range(700)]
+    rows = [(r, 1 + np.log(rng.integers(1, 5, len(r)).astype(float))) for r in sets]
+    weights = rng.random(40) + 0.5
+    index = toxicity.Index.of(rows, weights)
     dense = np.zeros((700, 40))
-    for k, row in enumerate(rows):
-        dense[k, row] = index.weights[row]
+    for k, (terms, counts) in enumerate(rows):
+        dense[k, terms] = counts * weights[terms]
     length = np.sqrt((dense**2).sum(1, keepdims=True))
     dense = np.divide(dense, length, out=np.zeros_like(dense), where=length > 0)
     for q in range(0, 700, 7):
-        cos = np.round(dense @ dense[q], 12)
+        cos = np.round(dense @ dense[q], 11)
         cos[q] = 0
-        best = np.lexsort((np.arange(700), -cos))[:5]
-        assert index.search(rows[q], 5, without=q) == [(float(cos[b]), int(b)) for b in best if cos[b] > 0]
-    assert index.search([], 5) == []
+        best = [int(b) for b in np.lexsort((np.arange(700), -cos))[:5] if cos[b] > 0]
+        found = index.search(rows[q], 5, without=q)
+        assert np.allclose([s for s, _ in found], cos[best], atol=1e-10) and all(abs(cos[n] - s) < 1e-10 for s, n in found)
+        assert len({n for _, n in found}) == len(best)
+    assert index.search((np.empty(0, np.int64), np.empty(0)), 5) == []
+
+
+def test_ties_go_to_the_smaller_number():
+    row = (np.array([0, 1]), np.ones(2))
+    index = toxicity.Index.of([row] * 300, np.ones(2))
+    assert [n for _, n in index.search(row, 5, without=2)] == [0, 1, 3, 4, 5]
+
+
+def test_the_label_picks_no_term():
+    texts = ["the " + text(d * 11, 60) + (" idiot" if d % 4 == 0 else "") for d in range(200)]
+    model = toxicity.fit_examples(texts, [int(d % 4 == 0) for d in range(200)], list(range(200)), (150, 50))
+    plain = toxicity.fit_examples(texts, [0] * 200, list(range(200)), (200, 0))
+    assert model.vocabulary == plain.vocabulary and "idiot" in model.vocabulary
+    reader = toxicity.Vectors(model.vocabulary)
+    assert all(model.vote(reader.row(t))[1] for t in texts)
+    # without a margin a term weighs its inverse document frequency
+    w, v = model.index.weights, plain.index.weights
+    assert (w >= v - 1e-12).all() and w[model.vocabulary["idiot"]] > 3 * v[model.vocabulary["idiot"]]
 
 
 def corpus():
