@@ -1,12 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes, distance-weighted votes.
 
-Terms are all lower-cased words and their beginnings of 4 to 7 letters that FLOOR examples hold; the label picks none. A text's
+Terms are all lower-cased words and their beginnings of 4 and 6 letters that FLOOR examples hold; the label picks none. A text's
 vector has 1 + log of each term's count times the term's weight, at unit length. The weight is the inverse document frequency; a term whose
 log odds of the label are above 0 by SURE standard errors counts (1 + RAISE * that margin) times as much, all others as they are.
 
 Examples are laid out so that similar ones share a block. For each block the index holds the postings by term, and for each term its
-largest value in each block. A search adds up the blocks' upper bounds and scores blocks from the largest bound down, until
-no bound beats the k-th cosine found. So neighbours are exact; ties go to the smaller example number.
+largest value in each block; the few terms that one in OFTEN examples holds are kept in full and added up for many texts at once. A
+search adds the blocks' upper bounds to those sums and scores blocks from the largest bound down, until no bound beats the k-th cosine
+found. So neighbours are exact; ties go to the smaller example number.
 
 Votes are weighted by 1 / (distance + SOFT) and by what an example stands for in all labelled rows, then put through a logistic curve.
 Odds are counted on one half of the examples, the curve is fitted on the leave-one-out votes of the other half, whose labels
@@ -31,12 +32,12 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MOST_TOXIC, MOST_OTHER, MOST_CHARS = 1_500, 3_000, 20_000
+MOST_TOXIC, MOST_OTHER, MOST_CHARS = 500, 1_500, 20_000
 FLOOR = 10
 SURE, RAISE = 2.5, 8.0
 NEIGHBOURS, SOFT = 15, 0.05
-BLOCK, AT_ONCE = 64, 6
-PREFIXES = (4, 5, 6, 7)
+BLOCK, AT_ONCE, TOGETHER, OFTEN = 64, 6, 32, 12
+PREFIXES = (4, 6)
 #: Words and scores that a task remembers.
 REMEMBER = 100_000
 _STRIP = "\"'.,;:!?#*$%&|<>()[]{}=_-+/\\~`^@…“”„«»‚‘’¿¡"
@@ -107,14 +108,16 @@ def _layout(rows: list[Row], weights: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Block-max inverted index of unit vectors."""
+    """Block-max inverted index of unit vectors. Terms that one in OFTEN examples holds are laid out in full, all others as postings."""
 
     weights: np.ndarray  # of each term
     numbers: np.ndarray  # example number of each place
-    starts: np.ndarray  # block x (terms + 1): where a term's postings in a block begin
+    often: np.ndarray  # of each term: its column in full, -1 for a rare one
+    full: np.ndarray  # often term x place
+    starts: np.ndarray  # block x (terms + 1): where a rare term's postings in a block begin
     places: np.ndarray  # of each posting, in order of block, term and place: place in the block, value
     values: np.ndarray
-    tops: np.ndarray  # term x block
+    tops: np.ndarray  # term x block: the largest value of a rare term
 
     @classmethod
     def of(cls, rows: list[Row], weights: np.ndarray) -> Index:
@@ -125,22 +128,42 @@ class Index:
         place = np.repeat(np.arange(len(laid)), [len(t) for t, _ in laid])
         values = (np.concatenate([c for _, c in laid]) if laid else np.empty(0)) * weights[terms]
         values = values / np.sqrt(np.bincount(place, values**2, minlength=len(laid)))[place]
+        dense = np.bincount(terms, minlength=len(weights)) * OFTEN >= max(1, len(rows))
+        often = np.where(dense, np.cumsum(dense) - 1, -1).astype(np.int32)
+        full = np.zeros((int(dense.sum()), blocks * BLOCK))
+        in_full = dense[terms]
+        full[often[terms[in_full]], place[in_full]] = values[in_full]
+        terms, place, values = terms[~in_full], place[~in_full], values[~in_full]
         block = place // BLOCK
         order = np.lexsort((place, terms, block))
         key = block[order] * len(weights) + terms[order]
         starts = np.searchsorted(key, (np.arange(blocks) * len(weights))[:, None] + np.arange(len(weights) + 1)[None, :]).astype(np.int32)
         tops = np.zeros((len(weights), blocks))
         np.maximum.at(tops, (terms, block), values)
-        return cls(weights, numbers, starts, (place % BLOCK)[order].astype(np.int16), values[order], tops)
-
-    def search(self, row: Row, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above 0, best first; the example `without` is left out."""
-        terms, counts = row
-        if not len(terms):
-            return []
-        q = counts * self.weights[terms]
-        q = q / math.sqrt(float(q @ q))
-        bounds = q @ self.tops[terms]
+        return cls(weights, numbers, often, full, starts, (place % BLOCK)[order].astype(np.int16), values[order], tops)
+
+    def search_all(self, rows: list[Row], k: int, without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each row the k examples of largest cosine above 0, best first; the example in `without` is left out."""
+        out = []
+        for begin in range(0, len(rows), TOGETHER):
+            part = rows[begin : begin + TOGETHER]
+            units = []
+            asked = np.zeros((len(part), len(self.full)))
+            for n, (terms, counts) in enumerate(part):
+                q = counts * self.weights[terms]
+                if len(q):
+                    q = q / math.sqrt(float(q @ q))
+                column = self.often[terms]
+                asked[n, column[column >= 0]] = q[column >= 0]
+                units.append((terms[column < 0], q[column < 0]))
+            known = asked @ self.full
+            out += [self._best(known[n], *unit, k, without[begin + n] if without else -1) for n, unit in enumerate(units)]
+        return out
+
+    def _best(self, known: np.ndarray, terms: np.ndarray, q: np.ndarray, k: int, without: int) -> list[tuple[float, int]]:
+        """known: what the terms in full add to each place; terms and q: the rare ones."""
+        known = known.reshape(-1, BLOCK)
+        bounds = known.max(1) + q @ self.tops[terms]
         order = np.argsort(-bounds, kind="stable")
         order = order[bounds[order] > 0]
         scores, numbers = np.empty(0), np.empty(0, np.int64)
@@ -153,10 +176,13 @@ class Index:
                 break
             first = self.starts[some[:, None], terms].ravel()
             sizes = self.starts[some[:, None], terms + 1].ravel() - first
+            has = np.flatnonzero(sizes)
+            first, sizes = first[has], sizes[has]
             ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(first - (ends - sizes), sizes)
-            lane = np.repeat(np.arange(len(some)) * BLOCK, sizes.reshape(len(some), -1).sum(1))
-            found = np.bincount(self.places[at] + lane, self.values[at] * np.repeat(np.tile(q, len(some)), sizes), minlength=len(some) * BLOCK)
+            pair = np.repeat(np.arange(len(has)), sizes)
+            at = np.arange(len(pair)) + (first - (ends - sizes))[pair]
+            lane = has // max(1, len(terms)) * BLOCK
+            found = known[some].ravel() + np.bincount(self.places[at] + lane[pair], self.values[at] * q[has % max(1, len(terms))][pair], minlength=len(some) * BLOCK)
             found = np.round(found, 12)
             hits = np.flatnonzero((found > 0) & (found >= least))
             names = self.numbers[some[hits // BLOCK] * BLOCK + hits % BLOCK]
@@ -182,24 +208,24 @@ class Model:
     curve: tuple[float, float] = (4.0, -2.0)
     seen: dict = field(default_factory=dict)
 
-    def vote(self, row: Row, without: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        """The share of weight that votes for the label, -1 without neighbours; and the neighbours."""
-        near = self.index.search(row, NEIGHBOURS, without)
-        if not near:
-            return -1.0, near
-        w = np.array([self.stands_for[n] / (1 - s + SOFT) for s, n in near])
-        return float((w * self.labels[[n for _, n in near]]).sum() / w.sum()), near
-
-    def score(self, row: Row) -> tuple[float, str]:
-        """Score, and the evidence: nearest examples as doc_id:label:cosine."""
-        key = row[0].tobytes() + row[1].tobytes()
-        if key not in self.seen:
-            if len(self.seen) >= REMEMBER // 10:
-                self.seen.clear()
-            share, near = self.vote(row)
+    def votes(self, rows: list[Row], without: list[int] | None = None) -> list[tuple[float, list[tuple[float, int]]]]:
+        """For each row the share of weight that votes for the label, -1 without neighbours; and the neighbours."""
+        out = []
+        for near in self.index.search_all(rows, NEIGHBOURS, without):
+            w = [self.stands_for[n] / (1 - s + SOFT) for s, n in near]
+            out.append((sum(x * self.labels[n] for x, (_, n) in zip(w, near, strict=True)) / sum(w) if near else -1.0, near))
+        return out
+
+    def scores(self, rows: list[Row]) -> list[tuple[float, str]]:
+        """Scores, and the evidence: nearest examples as doc_id:label:cosine. Equal rows are looked up once."""
+        keys = [terms.tobytes() + counts.tobytes() for terms, counts in rows]
+        if len(self.seen) >= REMEMBER // 10:
+            self.seen.clear()
+        new = {key: row for key, row in zip(keys, rows, strict=True) if key not in self.seen}
+        for key, (share, near) in zip(new, self.votes(list(new.values())), strict=True):
             score = self.without_terms if share < 0 else 1 / (1 + math.exp(-(self.curve[0] * share + self.curve[1])))
             self.seen[key] = score, ",".join(f"{self.doc_ids[n]}:{self.labels[n]}:{s:.4f}" for s, n in near[:3])
-        return self.seen[key]
+        return [self.seen[key] for key in keys]
 
 
 def odds_margin(having: np.ndarray, without: np.ndarray, n_having: int, n_without: int) -> np.ndarray:
@@ -242,11 +268,14 @@ def fit_examples(texts: list[str], labels: list[int], doc_ids: list[int], totals
         held.append(np.array([counts[s] for s in names], float))
     weights = np.log((1 + len(y)) / (1 + np.array([frequency[s] for s in names], float))) + 1
     weights *= 1 + RAISE * odds_margin(held[1], held[0], int((half & (y == 1)).sum()), int((half & (y == 0)).sum()))
+    del sets, frequency
     reader = Vectors(vocabulary)
     rows = [reader.row(t) for t in texts]
     stands_for = (np.array(totals, float) / np.maximum(n, 1))[y] if len(y) else np.empty(0)
     model = Model(vocabulary, Index.of(rows, weights), y, stands_for, np.array(doc_ids, np.int64), totals[1] / max(1, sum(totals)))
-    votes = np.array([-1.0 if half[k] else model.vote(r, k)[0] for k, r in enumerate(rows)])
+    others = np.flatnonzero(~half)
+    votes = np.full(len(y), -1.0)
+    votes[others] = [share for share, _ in model.votes([rows[k] for k in others], others.tolist())]
     used = votes >= 0
     if used.any() and 0 < y[used].mean() < 1:
         model.curve = _logistic(votes[used], y[used].astype(float), stands_for[used] / stands_for[used].mean())
@@ -280,8 +309,7 @@ def _scorer(model: Model):
     reader = Vectors(model.vocabulary)
 
     def run(texts: list[str]) -> list[tuple]:
-        scores = [model.score(reader.row(t)) for t in texts]
-        return [(s, int(s >= 0.5), evidence) for s, evidence in scores]
+        return [(s, int(s >= 0.5), evidence) for s, evidence in model.scores([reader.row(t) for t in texts])]
 
     return run
 

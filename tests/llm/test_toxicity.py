@@ -19,16 +19,17 @@ def test_search_equals_brute_force():
         cos = np.round(dense @ dense[q], 11)
         cos[q] = 0
         best = [int(b) for b in np.lexsort((np.arange(700), -cos))[:5] if cos[b] > 0]
-        found = index.search(rows[q], 5, without=q)
+        found = index.search_all([rows[q]], 5, [q])[0]
         assert np.allclose([s for s, _ in found], cos[best], atol=1e-10) and all(abs(cos[n] - s) < 1e-10 for s, n in found)
         assert len({n for _, n in found}) == len(best)
-    assert index.search((np.empty(0, np.int64), np.empty(0)), 5) == []
+    none = (np.empty(0, np.int64), np.empty(0))
+    assert index.search_all([none, rows[0], none], 5)[::2] == [[], []] and len(index.full) < 40 < toxicity.OFTEN * 40
 
 
 def test_ties_go_to_the_smaller_number():
     row = (np.array([0, 1]), np.ones(2))
     index = toxicity.Index.of([row] * 300, np.ones(2))
-    assert [n for _, n in index.search(row, 5, without=2)] == [0, 1, 3, 4, 5]
+    assert [n for _, n in index.search_all([row], 5, [2])[0]] == [0, 1, 3, 4, 5]
 
 
 def test_the_label_picks_no_term():
@@ -37,7 +38,7 @@ def test_the_label_picks_no_term():
     plain = toxicity.fit_examples(texts, [0] * 200, list(range(200)), (200, 0))
     assert model.vocabulary == plain.vocabulary and "idiot" in model.vocabulary
     reader = toxicity.Vectors(model.vocabulary)
-    assert all(model.vote(reader.row(t))[1] for t in texts)
+    assert all(near for _, near in model.votes([reader.row(t) for t in texts]))
     # without a margin a term weighs its inverse document frequency
     w, v = model.index.weights, plain.index.weights
     assert (w >= v - 1e-12).all() and w[model.vocabulary["idiot"]] > 3 * v[model.vocabulary["idiot"]]
