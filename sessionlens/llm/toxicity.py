@@ -36,7 +36,7 @@ MOST_TOXIC, MOST_OTHER, MOST_CHARS = 500, 1_500, 20_000
 FLOOR = 10
 SURE, RAISE = 2.5, 8.0
 NEIGHBOURS, SOFT = 15, 0.05
-BLOCK, AT_ONCE, TOGETHER, OFTEN = 64, 6, 32, 12
+BLOCK, AT_ONCE, TOGETHER, OFTEN = 128, 4, 32, 12
 PREFIXES = (4, 6)
 #: Words and scores that a task remembers.
 REMEMBER = 100_000
