@@ -299,8 +299,8 @@ def _differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame(done(held))
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """rows with chunk and guest: every page in its chunk, and pages within REACH of a cut as guests in the chunk beyond it.
+def _chunked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """rows with chunk and guest, and the number of chunks: every page in its chunk, and pages within REACH of a cut as guests in the chunk beyond it.
 
     The cuts are set from a sort of the keys alone. At most MOST_CHUNKS keys, and 2 * REACH times as many guests, reach the driver and are broadcast.
     """
@@ -320,7 +320,7 @@ def _chunked(rows: DataFrame) -> DataFrame:
     inside, number = F.col("place") % chunk, F.floor(F.col("place") / chunk)
     cuts = [r[0] for r in placed.where((inside == 0) & (F.col("place") > 0)).select("key").orderBy("key").collect()]
     if not cuts:
-        return rows.withColumn("chunk", F.lit(0)).withColumn("guest", F.lit(False))
+        return rows.withColumn("chunk", F.lit(0)).withColumn("guest", F.lit(False)), 1
     guests = placed.where(((inside < REACH) & (number > 0)) | (inside >= chunk - REACH)).select("key", F.when(inside < REACH, number - 1).otherwise(number + 1).cast("int").alias("beyond")).distinct()
     table = spark.createDataFrame([(cuts, cuts[::GROUP])], f"cuts array<{rows.select(key.alias('k')).schema['k'].dataType.simpleString()}>, coarse array<{rows.select(key.alias('k')).schema['k'].dataType.simpleString()}>")
     reached = lambda c: F.size(F.filter(c, lambda x: x <= F.col("key")))
@@ -329,7 +329,7 @@ def _chunked(rows: DataFrame) -> DataFrame:
     near_cut = guests.groupBy("key").agg(F.collect_set("beyond").alias("beyond"))  # two at most
     rows = rows.join(F.broadcast(near_cut), "key", "left").drop("key")
     places = F.concat(F.array(F.col("chunk")), F.filter(F.coalesce("beyond", F.array().cast("array<int>")), lambda x: x != F.col("chunk")))
-    return rows.withColumn("home", F.col("chunk")).withColumn("chunk", F.explode(places)).withColumn("guest", F.col("chunk") != F.col("home")).drop("home", "beyond")
+    return rows.withColumn("home", F.col("chunk")).withColumn("chunk", F.explode(places)).withColumn("guest", F.col("chunk") != F.col("home")).drop("home", "beyond"), len(cuts) + 1
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -342,8 +342,12 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("host", F.substring_index(key, ")", 1)).withColumn("path", F.regexp_replace(key, r"^[^)]*\)|\?.*$", ""))
     rows = rows.withColumn("number", F.coalesce("page_id", F.lit(-(2**63)))).withColumn("tie", F.xxhash64("url"))
-    rows = _chunked(rows).withColumn("last", F.xxhash64("html"))
-    rows = rows.repartition("chunk").sortWithinPartitions("chunk", "host", "path", "number", "tie", "last")
+    rows, chunks = _chunked(rows)
+    rows = rows.withColumn("last", F.xxhash64("html"))
+    # more partitions than the session's where eight chunks each need them
+    parts = -(-chunks // 8)
+    many = parts > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = (rows.repartition(parts, "chunk") if many else rows.repartition("chunk")).sortWithinPartitions("chunk", "host", "path", "number", "tie", "last")
     return rows.select("page_id", "url", "html", "host", "chunk", "guest").mapInPandas(_differ, "page_id long, url string, text string, n_chars long")
 
 
