@@ -31,12 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset a folder of this machine."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Only a local session, as in tests, may do without and gets a folder of this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jdir.isDefined():
             return jdir.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='sessionlens-')}"
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -71,13 +73,13 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread_by
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
-def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, spread_by: str, most: int = 4096, salts: int = 64) -> DataFrame:
+def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, spread_by: str, most: int = 4096, salts: int = 64, total: int | None = None) -> DataFrame:
     """left JOIN right, which has one row a key, with the rows of large keys dealt to `salts` tasks.
 
     sizes has the key and n, its number of rows in left. Large are keys with over one in `most` rows, so there are fewer than
-    `most` of them, and they are broadcast; the sides themselves, which grow with the input, never are.
+    `most` of them, and they are broadcast; the sides themselves, which grow with the input, never are. total: rows in left, if known.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
+    total = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
     large = F.broadcast(sizes.where(F.col("n") > max(1_000, total // most)).select(on, F.lit(True).alias("_large")))
     left = left.join(large, on, "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_large")
     copies = F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -243,26 +245,29 @@ def union_find(n: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]
     return find, union
 
 
-def unique_sum(df: DataFrame, *columns: str | Column) -> int:
-    """A checksum of a table's rows that doesn't depend on their order."""
+def unique_sum(df: DataFrame, *columns: str | Column) -> tuple[int, int]:
+    """A table's number of rows, and a checksum of them that doesn't depend on their order."""
     row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))).first()
-    return hash((row[0], row[1]))
+    return row[0], hash(row[1])
 
 
 def connected_components(edges: DataFrame, what: str = "components") -> DataFrame:
     """Columns a, b (undirected links) to node, label: the smallest node reachable. Nodes without a link don't appear.
 
-    Alternates two star steps, each a grouped minimum and a join, until nothing changes; the number of rounds grows with the logarithm of the longest chain.
+    Alternates two star steps, each a grouped minimum and a join, until nothing changes; the number of rounds grows with the logarithm of the
+    longest chain. The links of a hub are dealt to several tasks.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = written(edges, what)
     before = unique_sum(edges, "u", "v")
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = spread_join(both.where("v > u"), least.drop("n"), "u", least.select("u", "n"), "v", total=2 * before[0])
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low.drop("n"), "u", low.select("u", "n"), "v", total=before[0])
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
         edges = written(small, what)
         after = unique_sum(edges, "u", "v")
         if after == before:

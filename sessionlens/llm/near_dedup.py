@@ -6,9 +6,12 @@ coordinates must share a pair there. Within a posting list collisions are counte
 lists of frequent pairs are skipped and only probed; a pair of sets is looked at only in the first list that both are in. Pairs
 that agree in T coordinates are then confirmed on full shingle sets.
 
-Equal sets are collapsed before. A long posting list is cut into blocks and its block pairs become tasks of bounded size. In a
+Equal sets are collapsed before. A long posting list is cut into blocks, and each block is compared within itself first. What was linked
+is one component from then on: rounds over one member a component, dealt to new blocks, link the blocks until a round links nothing.
+Only lists that still hold several components are then compared block by block, and only pairs of different components; so
+a list of n near copies costs about n * BLOCK comparisons, not n * n, and no pair of different components is passed over. In a
 task, candidates whose sets are already connected by confirmed links are passed over, and only a spanning forest of confirmed
-links leaves, so a group of n near copies gives about n rows, not n * n.
+links leaves.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 32
-#: Signatures are posted and compared as 32-bit values. T is so low that a pair at the similarity bound is missed with a chance of about 1e-4.
-MISS = 1e-4
-BLOCK = 512
+#: Signatures are posted and compared as 32-bit values. T is so low that a pair at the similarity bound is missed with a chance of at most MISS.
+MISS = 1e-5
+BLOCK = 256
 BUCKETS = 8192
 
 _A = (np.random.default_rng(20240229).integers(1, 2**63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -99,8 +102,8 @@ def _poster(frequency: np.ndarray, prefix: int):
     return post
 
 
-def _candidates(sig: np.ndarray, earlier: np.ndarray, block: np.ndarray, cross: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index pairs of one list that agree in `least` coordinates, and their number of matches, for which it is the first common list."""
+def _candidates(sig: np.ndarray, earlier: np.ndarray, block: np.ndarray, comp: np.ndarray, cross: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs of one list, of different components, that agree in `least` coordinates, and their number of matches, for which it is the first common list."""
     left = np.flatnonzero(block == block.min()) if cross else np.arange(len(sig))
     right = np.flatnonzero(block != block.min()) if cross else left
     agree = np.zeros((len(left), len(right)), np.uint8)
@@ -110,7 +113,7 @@ def _candidates(sig: np.ndarray, earlier: np.ndarray, block: np.ndarray, cross:
         same = sig[left, k][:, None] == sig[right, k][None, :]
         agree += same
         common_bits |= same.astype(np.uint32) << np.uint32(k)
-    ok = (agree >= least) & ((common_bits & both[left][:, None] & both[right][None, :]) == 0)
+    ok = (agree >= least) & ((common_bits & both[left][:, None] & both[right][None, :]) == 0) & (comp[left][:, None] != comp[right][None, :])
     if not cross:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
@@ -121,18 +124,18 @@ def _matcher(least: int):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Members of each task that have a candidate there."""
         for frame, bounds in common.whole_groups(batches, ["token", "low", "high"]):
-            sig, earlier, block = _sigs(frame["sig"]), frame["earlier"].to_numpy(), frame["block"].to_numpy()
+            sig, earlier, block, comp = _sigs(frame["sig"]), frame["earlier"].to_numpy(), frame["block"].to_numpy(), frame["comp"].to_numpy()
             keep = np.zeros(len(frame), bool)
             sizes = np.diff(bounds)
             pairs = bounds[:-1][sizes == 2]
             if len(pairs):
                 same = sig[pairs] == sig[pairs + 1]
                 bits = (same.astype(np.uint64) << np.arange(K, dtype=np.uint64)).sum(1, dtype=np.uint64).astype(np.int64)
-                good = (same.sum(1) >= least) & ((bits & earlier[pairs] & earlier[pairs + 1]) == 0)
+                good = (same.sum(1) >= least) & (comp[pairs] != comp[pairs + 1]) & ((bits & earlier[pairs] & earlier[pairs + 1]) == 0)
                 keep[pairs[good]] = keep[pairs[good] + 1] = True
             low, high = frame["low"].to_numpy(), frame["high"].to_numpy()
             for lo, hi in zip(bounds[:-1][sizes > 2], bounds[1:][sizes > 2], strict=True):
-                i, j, _ = _candidates(sig[lo:hi], earlier[lo:hi], block[lo:hi], low[lo] != high[lo], least)
+                i, j, _ = _candidates(sig[lo:hi], earlier[lo:hi], block[lo:hi], comp[lo:hi], low[lo] != high[lo], least)
                 keep[lo + i] = keep[lo + j] = True
             yield frame[keep]
 
@@ -151,11 +154,11 @@ def _confirmer(least: int, percent: int):
         for frame, bounds in common.whole_groups(batches, ["token", "low", "high"], 2_000):
             out: list[tuple[int, int]] = []
             rep, low, high = frame["rep"].to_numpy(), frame["low"].to_numpy(), frame["high"].to_numpy()
-            sig, earlier, block = _sigs(frame["sig"]), frame["earlier"].to_numpy(), frame["block"].to_numpy()
+            sig, earlier, block, comp = _sigs(frame["sig"]), frame["earlier"].to_numpy(), frame["block"].to_numpy(), frame["comp"].to_numpy()
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 if hi - lo < 2:
                     continue
-                i, j, agree = _candidates(sig[lo:hi], earlier[lo:hi], block[lo:hi], low[lo] != high[lo], least)
+                i, j, agree = _candidates(sig[lo:hi], earlier[lo:hi], block[lo:hi], comp[lo:hi], low[lo] != high[lo], least)
                 sets = [np.frombuffer(x, np.uint64) for x in frame["shingles"].iloc[lo:hi]]
                 find, union = common.union_find(hi - lo)
                 for x in np.argsort(-agree.astype(np.int16), kind="stable"):
@@ -179,13 +182,65 @@ def _confirmer(least: int, percent: int):
     return confirm
 
 
+_FIELDS = "token long, rep long, earlier long, block int, low int, high int, comp long, sig binary"
+_BY = ["token", "low", "high"]
+
+
+def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """a, b: links within the groups of members (token, rep, earlier, block, low, high, comp), as a table."""
+    order = [f.split()[0] for f in _FIELDS.split(", ")]
+    # these sides grow with the input, so they are never broadcast
+    found = members.join(classes.select("rep", "sig").hint("merge"), "rep").select(*order).repartition(*_BY).sortWithinPartitions(*_BY).mapInPandas(_matcher(least), _FIELDS)
+    found = common.written(found, "candidates")
+    wanted = docs.join(found.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = wanted.mapInPandas(_sets, "rep long, shingles binary")
+    links = found.join(sets.hint("merge"), "rep").select(*order, "shingles").repartition(*_BY).sortWithinPartitions(*_BY).mapInPandas(_confirmer(least, percent), "a long, b long")
+    return common.written(links, "links")
+
+
+def _dealt(members: DataFrame, sizes: DataFrame, by: str = "rep") -> DataFrame:
+    """members with the number of blocks of their list, and their block. sizes: token, n."""
+    blocks = sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return common.spread_join(members, blocks, "token", sizes, by).withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+
+
+def _all_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
+    """node, label of all sets that have a link."""
+    columns = ["token", "rep", "earlier", "block", "low", "high", "comp"]
+    compare = lambda members: _links(members.select(*columns), classes, docs, least, percent)
+    lists = common.written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
+    links = compare(_dealt(posts, lists).select("*", F.col("block").alias("low"), F.col("block").alias("high"), F.col("rep").alias("comp")))
+    labels = common.connected_components(links)
+    long = lists.where(F.col("n") > BLOCK)
+    if long.isEmpty():
+        return labels
+    inside = common.written(common.spread_join(posts, long.select("token"), "token", long, "rep"), "long_lists")
+    while True:
+        named = inside.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+        named = common.written(named, "named")
+        heads = named.groupBy("token", "comp").agg(F.min("rep").alias("rep"))
+        several = common.written(heads.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+        if several.isEmpty():
+            return labels
+        heads = _dealt(heads.withColumn("earlier", F.lit(0).cast("long")), several, "comp")
+        more = compare(heads.select("*", F.col("block").alias("low"), F.col("block").alias("high")))
+        if more.isEmpty():
+            break
+        links = common.written(links.union(more), "links")
+        labels = common.connected_components(links)
+    # what is left: pairs of blocks of lists with several components
+    sizes = several.select("token").join(long, "token")
+    rest = _dealt(named, sizes).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
+    more = compare(rest.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    return labels if more.isEmpty() else common.connected_components(links.union(more))
+
+
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text); links are pairs with 100 * |A & B| >= percent * |A | B|.
 
     Null and empty texts have no shingles and stay alone. Rows with equal texts share a component. doc_id is taken as unique; rows
     that repeat it get the same component. A null doc_id is dropped, as it can't be named in a result. Other columns are ignored.
     """
-    spark = docs.sparkSession
     least = least_matches(percent / 100)
     prefix = K - least + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
@@ -196,22 +251,7 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     for row in classes.select("sig").mapInPandas(_frequencies, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         counts[row[0]] = row[1]
     posts = common.written(classes.select("rep", "sig").mapInPandas(_poster(counts, prefix), "token long, rep long, earlier long"), "posts")
-    lists = common.written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
-    blocks = lists.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    members = common.spread_join(posts, blocks, "token", lists, "rep").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("token", "rep", "earlier", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(classes.select("rep", "sig"), "rep")
-    by = ["token", "low", "high"]
-    fields = "token long, rep long, earlier long, block int, low int, high int, sig binary"
-    order = [f.split()[0] for f in fields.split(", ")]
-    found = members.select(*order).repartition(*by).sortWithinPartitions(*by).mapInPandas(_matcher(least), fields)
-    found = common.written(found, "candidates")
-
-    # these sides grow with the input, so they are never broadcast
-    wanted = docs.join(found.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = wanted.mapInPandas(_sets, "rep long, shingles binary")
-    links = found.join(sets.hint("merge"), "rep").select(*order, "shingles").repartition(*by).sortWithinPartitions(*by).mapInPandas(_confirmer(least, percent), "a long, b long")
-    labels = common.connected_components(links)
+    labels = _all_links(posts, classes, docs, least, percent)
 
     grouped = classes.select("set_a", "set_b", "rep", "members").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     grouped = grouped.where("members > 1 or label is not null").select("set_a", "set_b", F.coalesce("label", "rep").alias("label"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 from helpers import BIG, docs, odd_rows, text
@@ -56,10 +57,33 @@ def test_large_group_is_cut_into_blocks(spark, monkeypatch):
 
 
 def test_least_matches():
-    assert near_dedup.least_matches(0.85) >= 18 and near_dedup.least_matches(1.0) == near_dedup.K
+    k = near_dedup.K
+    below = lambda t, p: sum(math.comb(k, x) * p**x * (1 - p) ** (k - x) for x in range(t))
+    for p in (0.8, 0.85, 0.95):
+        t = near_dedup.least_matches(p)
+        assert below(t, p) <= near_dedup.MISS < below(t + 1, p)
+    assert near_dedup.least_matches(1.0) == k
 
 
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (5, 5)], "a bigint, b bigint")
     got = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
     assert got == {k: 0 for k in range(61)} | {100: 100, 101: 100}
+
+
+def test_long_lists_of_several_groups(spark, monkeypatch):
+    # groups that share a stock part, so that long lists hold several components
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    stock = text(0, 80)
+    rows = []
+    for k in range(90):
+        words = f"{stock} {text(500 * (k % 3) + 100, 40 + 10 * (k % 3))}".split()
+        words[k % len(words)] = f"n{k}"
+        rows.append((k + 1, " ".join(words)))
+    check(spark, rows, 80)
+
+
+def test_hubs_are_dealt_to_several_tasks(spark, monkeypatch):
+    edges = spark.range(3000).selectExpr("7 as a", "id + 8 as b").union(spark.range(50).selectExpr("id + 3000 as a", "id + 5000 as b"))
+    got = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
+    assert got == {k: 7 for k in range(7, 3008)} | {k + 2000: 7 for k in range(3000, 3008)} | {k: k for k in range(3008, 3050)} | {k + 2000: k for k in range(3008, 3050)}
