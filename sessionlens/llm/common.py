@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Word separators of the contracts: space and \t..\r.
@@ -73,17 +73,26 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread_by
     return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
+def sized(df: DataFrame, rows: int, *keys: str, per: int = 100_000) -> DataFrame:
+    """df dealt by keys to as many partitions as its number of rows asks for, where that is fewer than the session's."""
+    parts = max(1, -(-rows // per))
+    return df.repartition(parts, *keys) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: str, sizes: DataFrame, spread_by: str, most: int = 4096, salts: int = 64, total: int | None = None) -> DataFrame:
     """left JOIN right, which has one row a key, with the rows of large keys dealt to `salts` tasks.
 
     sizes has the key and n, its number of rows in left. Large are keys with over one in `most` rows, so there are fewer than
-    `most` of them, and they are broadcast; the sides themselves, which grow with the input, never are. total: rows in left, if known.
+    `most` of them, and they are broadcast; the sides themselves, which grow with the input, never are. total: rows in left, if known; then
+    they also set the number of partitions.
     """
-    total = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
-    large = F.broadcast(sizes.where(F.col("n") > max(1_000, total // most)).select(on, F.lit(True).alias("_large")))
+    rows = (sizes.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    large = F.broadcast(sizes.where(F.col("n") > max(1_000, rows // most)).select(on, F.lit(True).alias("_large")))
     left = left.join(large, on, "left").withColumn("_salt", F.when(F.col("_large"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("_large")
     copies = F.when(F.col("_large"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     right = right.join(large, on, "left").withColumn("_salt", F.explode(copies)).drop("_large")
+    if total is not None:
+        left, right = sized(left, total, on, "_salt"), sized(right, total, on, "_salt")
     return left.join(right.hint("merge"), [on, "_salt"]).drop("_salt")
 
 
@@ -245,33 +254,38 @@ def union_find(n: int) -> tuple[Callable[[int], int], Callable[[int, int], bool]
     return find, union
 
 
-def unique_sum(df: DataFrame, *columns: str | Column) -> tuple[int, int]:
-    """A table's number of rows, and a checksum of them that doesn't depend on their order."""
-    row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(20,0)"))).first()
-    return row[0], hash(row[1])
+#: Nodes with more links than this are hubs.
+HUB = 200_000
 
 
-def connected_components(edges: DataFrame, what: str = "components") -> DataFrame:
+def connected_components(edges: DataFrame, what: str = "components", hub: int = HUB) -> DataFrame:
     """Columns a, b (undirected links) to node, label: the smallest node reachable. Nodes without a link don't appear.
 
-    Alternates two star steps, each a grouped minimum and a join, until nothing changes; the number of rounds grows with the logarithm of the
-    longest chain. The links of a hub are dealt to several tasks.
+    Alternates two star steps, each a minimum by node, until every node is a centre or has its centre as only neighbour; the number of rounds
+    grows with the logarithm of the longest chain. Where a node has more than `hub` links, these are dealt to several tasks: a grouped minimum
+    and a salted join instead of a window.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = written(edges, what)
-    before = unique_sum(edges, "u", "v")
     while True:
+        edges = written(edges, what)
+        n = edges.count()
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = spread_join(both.where("v > u"), least.drop("n"), "u", least.select("u", "n"), "v", total=2 * before[0])
-        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = spread_join(large, low.drop("n"), "u", low.select("u", "n"), "v", total=before[0])
-        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct()
-        edges = written(small, what)
-        after = unique_sum(edges, "u", "v")
-        if after == before:
+        degrees = both.groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("u")).alias("below"))
+        open_node = (F.col("below") > 0) & (F.col("n") > 1)
+        widest, unsettled = degrees.agg(F.max("n"), F.bool_or(open_node)).first()
+        if not unsettled:
             break
-        before = after
+
+        def with_least(rows: DataFrame, keep: str, total: int, widest: int = widest) -> DataFrame:
+            """Rows (u, v) that hold `keep`, and m: the smallest v of their u."""
+            if widest <= hub:
+                return sized(rows, total, "u").withColumn("m", F.min("v").over(Window.partitionBy("u"))).where(keep)
+            least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+            return spread_join(rows.where(keep), least.drop("n"), "u", least.select("u", "n"), "v", total=total)
+
+        large = with_least(both, "v > u", 2 * n).select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        small = with_least(large, "true", n)
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v")
+        edges = sized(small, 2 * n, "u", "v").distinct()
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

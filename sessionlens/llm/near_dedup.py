@@ -7,9 +7,10 @@ lists of frequent pairs are skipped and only probed; a pair of sets is looked at
 that agree in T coordinates are then confirmed on full shingle sets.
 
 Equal sets are collapsed before. A long posting list is cut into blocks, and each block is compared within itself first. What was linked
-is one component from then on: rounds over one member a component, dealt to new blocks, link the blocks until a round links nothing.
-Only lists that still hold several components are then compared block by block, and only pairs of different components; so
-a list of n near copies costs about n * BLOCK comparisons, not n * n, and no pair of different components is passed over. In a
+is one component from then on: rounds over one member a component, dealt to new blocks, link the blocks as long as a round halves what is left.
+Only lists that still hold several components are then compared in wide blocks, and only pairs of different components; so
+a list of n near copies costs about n * BLOCK comparisons, not n * n, and no pair of different components is passed over. (A list of n
+sets of which none are linked but that all share a rare pair still costs n * n / 2 comparisons, and n * n / WIDE rows.) In a
 task, candidates whose sets are already connected by confirmed links are passed over, and only a spanning forest of confirmed
 links leaves.
 """
@@ -29,7 +30,7 @@ from . import common
 K = 32
 #: Signatures are posted and compared as 32-bit values. T is so low that a pair at the similarity bound is missed with a chance of at most MISS.
 MISS = 1e-5
-BLOCK = 256
+BLOCK, WIDE = 128, 1024
 BUCKETS = 8192
 
 _A = (np.random.default_rng(20240229).integers(1, 2**63, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -183,56 +184,82 @@ def _confirmer(least: int, percent: int):
 
 
 _FIELDS = "token long, rep long, earlier long, block int, low int, high int, comp long, sig binary"
+_ORDER = [f.split()[0] for f in _FIELDS.split(", ")]
 _BY = ["token", "low", "high"]
 
 
-def _links(members: DataFrame, classes: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """a, b: links within the groups of members (token, rep, earlier, block, low, high, comp), as a table."""
-    order = [f.split()[0] for f in _FIELDS.split(", ")]
-    # these sides grow with the input, so they are never broadcast
-    found = members.join(classes.select("rep", "sig").hint("merge"), "rep").select(*order).repartition(*_BY).sortWithinPartitions(*_BY).mapInPandas(_matcher(least), _FIELDS)
-    found = common.written(found, "candidates")
-    wanted = docs.join(found.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = wanted.mapInPandas(_sets, "rep long, shingles binary")
-    links = found.join(sets.hint("merge"), "rep").select(*order, "shingles").repartition(*_BY).sortWithinPartitions(*_BY).mapInPandas(_confirmer(least, percent), "a long, b long")
-    return common.written(links, "links")
+def _candidate_members(members: DataFrame, rows: int, least: int) -> DataFrame:
+    """Those of members (token, rep, earlier, block, low, high, comp, sig), about `rows`, that have a candidate in their group, as a table."""
+    found = common.sized(members.select(*_ORDER), rows, *_BY).sortWithinPartitions(*_BY).mapInPandas(_matcher(least), _FIELDS)
+    return common.written(found, "candidates")
 
 
-def _dealt(members: DataFrame, sizes: DataFrame, by: str = "rep") -> DataFrame:
-    """members with the number of blocks of their list, and their block. sizes: token, n."""
+def _links(found: DataFrame, sets: DataFrame, least: int, percent: int) -> DataFrame:
+    """a, b: confirmed links within the groups, as a table. sets (rep, shingles) grows with the input, so it's never broadcast."""
+    rows = found.count()
+    dealt = lambda df, *keys: common.sized(df, rows, *keys, per=10_000)
+    links = dealt(found, "rep").join(dealt(sets, "rep").hint("merge"), "rep").select(*_ORDER, "shingles")
+    return common.written(dealt(links, *_BY).sortWithinPartitions(*_BY).mapInPandas(_confirmer(least, percent), "a long, b long"), "links")
+
+
+def _dealt(members: DataFrame, sizes: DataFrame, rows: int, by: str = "rep") -> DataFrame:
+    """members, `rows` at most, with the number of blocks of their list, and their block. sizes: token, n."""
     blocks = sizes.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    return common.spread_join(members, blocks, "token", sizes, by).withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
+    return common.spread_join(members, blocks, "token", sizes, by, total=rows).withColumn("block", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int"))
 
 
 def _all_links(posts: DataFrame, classes: DataFrame, docs: DataFrame, least: int, percent: int) -> DataFrame:
     """node, label of all sets that have a link."""
-    columns = ["token", "rep", "earlier", "block", "low", "high", "comp"]
-    compare = lambda members: _links(members.select(*columns), classes, docs, least, percent)
+    own_block = ("*", F.col("block").alias("low"), F.col("block").alias("high"))
+    rows = posts.count()
+    signatures = common.sized(classes.select("rep", "sig"), rows, "rep").hint("merge")
     lists = common.written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "lists")
-    links = compare(_dealt(posts, lists).select("*", F.col("block").alias("low"), F.col("block").alias("high"), F.col("rep").alias("comp")))
-    labels = common.connected_components(links)
+    members = _dealt(posts, lists, rows).select(*own_block, F.col("rep").alias("comp"))
+    found = _candidate_members(common.sized(members, rows, "rep").join(signatures, "rep"), rows, least)
+    wanted = found.select("rep")
     long = lists.where(F.col("n") > BLOCK)
-    if long.isEmpty():
-        return labels
-    inside = common.written(common.spread_join(posts, long.select("token"), "token", long, "rep"), "long_lists")
-    while True:
-        named = inside.join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
+    any_long = not long.isEmpty()
+    if any_long:
+        inside = common.sized(common.spread_join(posts, long.select("token"), "token", long, "rep", total=rows), rows, "rep").join(signatures, "rep")
+        inside = common.written(inside, "long_lists")
+        held = inside.count()
+        wanted = wanted.union(inside.select("rep"))
+    # the texts are dealt once; all later rounds take their sets from this table
+    texts = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    sets = texts.mapInPandas(_sets, "rep long, shingles binary")
+    if any_long:
+        sets = common.written(sets, "sets")
+    labels = common.connected_components(_links(found, sets, least, percent))
+    stars = lambda labels: labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    before = held if any_long else 0
+    while any_long:
+        names = common.sized(labels.withColumnRenamed("node", "rep"), held, "rep").hint("merge")
+        named = common.sized(inside, held, "rep").join(names, "rep", "left").withColumn("comp", F.coalesce("label", "rep")).drop("label")
         named = common.written(named, "named")
-        heads = named.groupBy("token", "comp").agg(F.min("rep").alias("rep"))
-        several = common.written(heads.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
-        if several.isEmpty():
+        heads = named.groupBy("token", "comp").agg(F.min_by(F.struct("rep", "sig"), "rep").alias("head"), F.count(F.lit(1)).alias("of_comp"))
+        heads = common.written(heads.select("token", "comp", "of_comp", "head.*", F.lit(0).cast("long").alias("earlier")), "heads")
+        several = heads.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("of_comp").alias("members"), F.max(F.struct("of_comp", "comp")).alias("largest")).where("n > 1")
+        several = common.written(several, "several")
+        left, after = several.agg(F.count(F.lit(1)), F.sum("n")).first()
+        if not left:
             return labels
-        heads = _dealt(heads.withColumn("earlier", F.lit(0).cast("long")), several, "comp")
-        more = compare(heads.select("*", F.col("block").alias("low"), F.col("block").alias("high")))
-        if more.isEmpty():
+        if 2 * after > before:  # what is left is mostly unlike
             break
-        links = common.written(links.union(more), "links")
-        labels = common.connected_components(links)
-    # what is left: pairs of blocks of lists with several components
-    sizes = several.select("token").join(long, "token")
-    rest = _dealt(named, sizes).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> block")
-    more = compare(rest.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
-    return labels if more.isEmpty() else common.connected_components(links.union(more))
+        before = after
+        more = _links(_candidate_members(_dealt(heads, several.select("token", "n"), after, "comp").select(*own_block), after, least), sets, least, percent)
+        labels = common.connected_components(stars(labels).union(more))
+    if not any_long:
+        return labels
+    # what is left: lists with several components. The largest one's members meet only the others, so with few others a list costs what it holds
+    mine, theirs = F.ceil((F.col("members") - F.col("largest.of_comp")) / WIDE).cast("int"), F.ceil(F.col("largest.of_comp") / WIDE).cast("int")
+    shape = several.select("token", F.col("largest.comp").alias("giant"), mine.alias("mine"), theirs.alias("theirs"))
+    rest = common.spread_join(named, shape, "token", several.select("token", F.col("members").alias("n")), "rep", total=held)
+    apart, number = F.col("comp") == F.col("giant"), lambda n: F.pmod(F.xxhash64("rep", F.lit("wide")), F.col(n)).cast("int")
+    rest = rest.withColumn("block", F.when(apart, F.col("mine") + number("theirs")).otherwise(number("mine")))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("mine")).otherwise(F.col("mine") + F.col("theirs")) - 1)))
+    rest = rest.select("*", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    more = _links(_candidate_members(rest, 2 * held, least), sets, least, percent)
+    return labels if more.isEmpty() else common.connected_components(stars(labels).union(more))
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:

@@ -74,6 +74,7 @@ def test_components_of_a_long_chain(spark):
 def test_long_lists_of_several_groups(spark, monkeypatch):
     # groups that share a stock part, so that long lists hold several components
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    monkeypatch.setattr(near_dedup, "WIDE", 16)
     stock = text(0, 80)
     rows = []
     for k in range(90):
@@ -83,7 +84,7 @@ def test_long_lists_of_several_groups(spark, monkeypatch):
     check(spark, rows, 80)
 
 
-def test_hubs_are_dealt_to_several_tasks(spark, monkeypatch):
+def test_hubs_are_dealt_to_several_tasks(spark):
     edges = spark.range(3000).selectExpr("7 as a", "id + 8 as b").union(spark.range(50).selectExpr("id + 3000 as a", "id + 5000 as b"))
-    got = {r["node"]: r["label"] for r in common.connected_components(edges).collect()}
+    got = {r["node"]: r["label"] for r in common.connected_components(edges, hub=10).collect()}
     assert got == {k: 7 for k in range(7, 3008)} | {k + 2000: 7 for k in range(3000, 3008)} | {k: k for k in range(3008, 3050)} | {k + 2000: k for k in range(3008, 3050)}
