@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import keys, pricing
 from .operators import axis, delta, merge, pairing
 from .plans import cost, daily, export, sessions, timeline, tools
+from .sources import collect, otlp
 from .sources.adapter import Telemetry
 
 #: A time in the driver's events, used as `now` and `since`.
@@ -151,11 +152,16 @@ b AS (SELECT *, CASE WHEN seq = 1 AND lag(seq) OVER (PARTITION BY session_id, se
 c AS (SELECT *, sum(turn) OVER (PARTITION BY session_id, seg ORDER BY ts_ms, seq, id) AS runs FROM b)
 SELECT session_id, ts_ms, id, seq, CAST(CASE WHEN seq = 0 THEN 0 WHEN seq >= 2 THEN least(2, runs + 1) ELSE least(2, runs) END AS BIGINT) AS level FROM c""")
 _add("prompts_last_n", lambda t: timeline.newest_prompts(t, 3), f"{_ADAPTER} SELECT session_id, id, ts_ms, k AS prompt_length, prompt, prompt <> '' AS stored, n AS newest FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts_ms DESC, id DESC) AS n FROM ev) WHERE n <= 3")
-_add("burn_rate_60s", lambda t: timeline.burn_rate(t.api_requests, 3_600_000, 7_200_000), f"""{_ADAPTER}, a AS (SELECT *, sum(cost_usd) OVER w AS c, sum(input_tokens + output_tokens) OVER w AS t, ts_ms - lag(ts_ms) OVER w AS gap FROM api WINDOW w AS (PARTITION BY session_id ORDER BY ts_ms, id)),
-b AS (SELECT *, min({{'ts': ts_ms, 'id': id, 'c': c, 't': t}}) OVER (PARTITION BY session_id ORDER BY ts_ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW) AS old FROM a),
+def _burn_sql(window: int, stale: int) -> str:
+    return f"""{_ADAPTER}, a AS (SELECT *, sum(cost_usd) OVER w AS c, sum(input_tokens + output_tokens) OVER w AS t, ts_ms - lag(ts_ms) OVER w AS gap FROM api WINDOW w AS (PARTITION BY session_id ORDER BY ts_ms, id)),
+b AS (SELECT *, min({{'ts': ts_ms, 'id': id, 'c': c, 't': t}}) OVER (PARTITION BY session_id ORDER BY ts_ms RANGE BETWEEN {window} PRECEDING AND CURRENT ROW) AS old FROM a),
 d AS (SELECT *, (ts_ms - old.ts) / 60000 AS minutes FROM b)
-SELECT session_id, id, ts_ms, round(CASE WHEN minutes > 0 AND coalesce(gap, 0) <= 7200000 THEN greatest(0, (c - old.c) / minutes) ELSE 0 END, 6) AS usd_per_min,
-  round(CASE WHEN minutes > 0 AND coalesce(gap, 0) <= 7200000 THEN greatest(0, (t - old.t) / minutes) ELSE 0 END, 6) AS tok_per_min FROM d""")
+SELECT session_id, id, ts_ms, round(CASE WHEN minutes > 0 AND coalesce(gap, 0) <= {stale} THEN greatest(0, (c - old.c) / minutes) ELSE 0 END, 6) AS usd_per_min,
+  round(CASE WHEN minutes > 0 AND coalesce(gap, 0) <= {stale} THEN greatest(0, (t - old.t) / minutes) ELSE 0 END, 6) AS tok_per_min FROM d"""
+
+
+_add("burn_rate_60s", lambda t: timeline.burn_rate(t.api_requests), _burn_sql(60_000, 15_000))
+_add("burn_rate_hour", lambda t: timeline.burn_rate(t.api_requests, 3_600_000, 7_200_000), _burn_sql(3_600_000, 7_200_000))
 
 _add("daily_heatmap", daily.heatmap, f"""{_DAILY}, q AS (SELECT p[least(len(p), CAST(floor(0.25 * len(p)) AS INT) + 1)] AS q1, p[least(len(p), CAST(floor(0.5 * len(p)) AS INT) + 1)] AS q2, p[least(len(p), CAST(floor(0.75 * len(p)) AS INT) + 1)] AS q3 FROM p)
 SELECT strftime(day, '%Y-%m-%d') AS day, tokens, cost_usd, CAST(CASE WHEN tokens <= 0 THEN 0 WHEN tokens <= q1 THEN 1 WHEN tokens <= q2 THEN 2 WHEN tokens <= q3 THEN 3 ELSE 4 END AS BIGINT) AS level,
@@ -224,5 +230,48 @@ def _event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _entries["event_windows"] = (_event_windows, "SELECT epoch_us(ts) // 3600000000 * 3600000 AS start_ms, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 
+_SINCE, _ONE = 1_704_500_000_000, "u12"
+_add("sessions_since", lambda t: sessions.session_list(t, since=_SINCE).select("id", "last_seen", "cost_usd"), f"{_ADAPTER} SELECT id, last_seen, cost_usd FROM sl WHERE last_seen >= {_SINCE}")
+_add("cost_series_since", lambda t: cost.cost_series(t, "day", since=_SINCE), _series_sql(_DAY, f"ts_ms >= {_SINCE}", f"ts_ms >= {_SINCE}") + _SERIES_OUT)
+_add("cost_series_session", lambda t: cost.cost_series(t, "hour", session=_ONE), _series_sql(_HOUR, f"session_id = '{_ONE}'", f"session_id = '{_ONE}'") + _SERIES_OUT)
+_add("tools_by_source_session", lambda t: tools.by_source(t, _SINCE, _ONE), f"{_ADAPTER} SELECT source, CAST(count(*) FILTER (WHERE decision = 'accept') AS BIGINT) AS accept, CAST(count(*) FILTER (WHERE decision = 'reject') AS BIGINT) AS reject FROM td WHERE ts_ms >= {_SINCE} AND session_id = '{_ONE}' GROUP BY 1")
+
+
+def _collected(t: Telemetry) -> collect.Collected:
+    """The driver's requests and results as transcript lines, and a part of the requests again as log exports, taken in from there."""
+    time = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    requests = t.api_requests.where("not is_error")
+    usage = F.struct("input_tokens", "output_tokens", F.col("cache_creation").alias("cache_creation_input_tokens"), F.col("cache_read").alias("cache_read_input_tokens"))
+    call = F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), "id").alias("id"), F.lit("Bash").alias("name"), F.struct(F.concat(F.lit("run "), "k").alias("command")).alias("input"))
+    message = F.struct(F.lit("assistant").alias("role"), "model", usage.alias("usage"), F.array(call).alias("content"))
+    head = lambda kind, n: (F.lit(kind).alias("type"), F.concat(F.lit(kind), "id").alias("uuid"), time(F.col("ts_ms") + n).alias("timestamp"), F.col("session_id").alias("sessionId"))
+    uses = requests.select("session_id", (F.col("id") * 3).alias("pos"), F.to_json(F.struct(*head("assistant", 0), message.alias("message"))).alias("value"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), "id").alias("tool_use_id"), (F.col("k") % 4 == 0).alias("is_error"))
+    replies = requests.where("k % 2 = 0").select("session_id", (F.col("id") * 3 + 1).alias("pos"), F.to_json(F.struct(*head("user", 1), F.struct(F.lit("user").alias("role"), F.array(result).alias("content")).alias("message"))).alias("value"))
+    prompts = requests.where("k % 5 = 0").select("session_id", (F.col("id") * 3 + 2).alias("pos"), F.to_json(F.struct(*head("user", 2), F.struct(F.lit("user").alias("role"), F.concat(F.lit("[draft] say "), "k").alias("content")).alias("message"))).alias("value"))
+    lines = uses.unionByName(replies).unionByName(prompts).withColumnRenamed("session_id", "file")
+    said = lambda name, value: F.struct(F.lit(name).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
+    attributes = F.array(said("session.id", F.col("session_id")), said("model", F.col("model")), said("input_tokens", F.col("input_tokens")), said("output_tokens", F.col("output_tokens")), said("cost", F.col("cost_usd")), said("duration", F.col("duration_ms")), said("app.version", F.lit("9")))
+    record = F.struct((F.col("ts_ms") * 1_000_000).cast("string").alias("timeUnixNano"), F.lit("claude_code.api_request").alias("eventName"), attributes.alias("attributes"))
+    document = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
+    logs = requests.where("k % 3 = 0").select(F.from_json(document, otlp.LOGS).alias("d")).select("d.*")
+    return collect.collect(lines, logs=logs)
+
+
+_TAKEN = f"""{_ADAPTER}, rq AS (SELECT *, k % 3 = 0 AS exported FROM api WHERE NOT is_error),
+one AS (
+  SELECT session_id, ts_ms, model, input_tokens, output_tokens, bool_or(exported) AS exported, arg_min(cost_usd, CASE WHEN exported THEN id END) AS told,
+    any_value(CASE WHEN model LIKE '%opus%' THEN input_tokens * 15.0 + output_tokens * 75.0 + cache_read * 1.5 + cache_creation * 18.75 WHEN model LIKE '%sonnet%' THEN input_tokens * 3.0 + output_tokens * 15.0 + cache_read * 0.3 + cache_creation * 3.75
+      WHEN model LIKE '%haiku%' THEN input_tokens * 1.0 + output_tokens * 5.0 + cache_read * 0.1 + cache_creation * 1.25 ELSE 0 END / 1e6) AS estimate
+  FROM rq GROUP BY 1, 2, 3, 4, 5)"""
+_add("cross_source_dedup", lambda t: _collected(t).api_requests.groupBy("session_id", "model", "cost_source").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("cost_usd"), 9).alias("cost_usd")), f"""{_TAKEN}
+SELECT session_id, model, CASE WHEN exported THEN 'otlp' ELSE 'jsonl-estimate' END AS cost_source, CAST(count(*) AS BIGINT) AS requests, round(sum(CAST(CASE WHEN exported THEN told ELSE estimate END AS DOUBLE)), 9) AS cost_usd FROM one GROUP BY 1, 2, 3""")
+_add("transcript_tools", lambda t: _collected(t).tool_results.groupBy("session_id", "tool_name", "success").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("bash_command").alias("commands")), f"""{_ADAPTER} SELECT session_id, 'Bash' AS tool_name, k % 4 <> 0 AS success, CAST(count(*) AS BIGINT) AS results, CAST(count(DISTINCT k) AS BIGINT) AS commands FROM api WHERE NOT is_error AND k % 2 = 0 GROUP BY 1, 2, 3""")
+_add("transcript_prompts", lambda t: timeline.prompt_fields(_collected(t).events).select("session_id", "ts_ms", "prompt_length", "prompt"), f"{_ADAPTER} SELECT session_id, ts_ms + 2 AS ts_ms, CAST(strlen('[draft] say ' || k) AS BIGINT) AS prompt_length, '[draft] say ' || k AS prompt FROM api WHERE NOT is_error AND k % 5 = 0")
+_add("collected_sessions", lambda t: _collected(t).sessions.select("id", "first_seen", "last_seen", "app_version", F.coalesce("has_events", F.lit(False)).alias("has_events")), f"""{_ADAPTER}
+SELECT session_id AS id, min(ts_ms) AS first_seen, max(ts_ms + CASE WHEN k % 5 = 0 THEN 2 WHEN k % 2 = 0 THEN 1 ELSE 0 END) AS last_seen, CASE WHEN bool_or(k % 3 = 0) THEN '9' ELSE '' END AS app_version, bool_or(k % 3 = 0) AS has_events FROM api WHERE NOT is_error GROUP BY 1""")
+_add("collected_cost_by_model", lambda t: cost.cost_by_model(_collected(t)).select("model", F.round("cost_usd", 3).alias("cost_usd"), "tokens"), f"""{_TAKEN}
+SELECT model, round(sum(CAST(CASE WHEN exported THEN told ELSE estimate END AS DOUBLE)), 3) AS cost_usd, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens FROM one GROUP BY 1""")
+
 QUERIES: dict[str, Query] = {name: query for name, (query, _) in _entries.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _entries.items() if sql}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from datetime import datetime
+from zoneinfo import ZoneInfo
 
 #: Periods of the filters, in days; units of durations in seconds and of sizes in bytes (decimal names count binary too).
 PERIODS = {"7d": 7, "30d": 30, "90d": 90, "1y": 365, "all": None}
@@ -17,28 +19,44 @@ def since_of(period: str, now_ms: int) -> int:
 
 
 def cost(usd: float, digits: int = 2) -> str:
-    return f"${usd:.{digits}f}"
+    return f"${max(0.0, usd):.{digits}f}"
 
 
 def tokens(n: int) -> str:
-    if n >= 1_000_000:
-        return f"{n / 1e6:.1f}M"
-    return f"{n / 1e3:.1f}K" if n >= 1_000 else str(n)
+    """Grouped below 1,000, else thousands or millions with one decimal, none where it would be 0."""
+    n = max(0, n)
+    if n < 1_000:
+        return str(n)
+    size, unit = (1e6, "M") if n >= 1_000_000 else (1e3, "K")
+    return f"{n / size:.1f}".removesuffix(".0") + unit
 
 
 def grouped(n: int) -> str:
-    return f"{n:,}"
+    return f"{max(0, n):,}"
 
 
 def percent(share: float) -> str:
-    return f"{share * 100:.0f}%"
+    """Whole percent; halves round up."""
+    return f"{int(max(0.0, share) * 100 + 0.5)}%"
 
 
-def duration(seconds: float) -> str:
-    s = int(seconds)
-    if s >= 3600:
-        return f"{s // 3600}h{s % 3600 // 60:02d}m"
-    return f"{s // 60}m{s % 60:02d}s" if s >= 60 else f"{s}s"
+def duration(ms: int) -> str:
+    """Milliseconds as 250ms, 1.5s or 62m 0s."""
+    if ms < 1_000:
+        return f"{ms}ms"
+    if ms < 60_000:
+        return f"{ms / 1000:.1f}s"
+    return f"{ms // 60_000}m {ms // 1000 % 60}s"
+
+
+def time_range(first_ms: int, last_ms: int, tz: str = "UTC") -> str:
+    """Clock times of a session and how long it took."""
+    clock = lambda ms: datetime.fromtimestamp(ms / 1000, ZoneInfo(tz)).strftime("%H:%M")
+    return f"{clock(first_ms)}–{clock(last_ms)} ({duration(max(0, last_ms - first_ms))})"
+
+
+def or_dash(text: str) -> str:
+    return text or "-"
 
 
 def short_id(session: str) -> str:

@@ -91,16 +91,19 @@ def bucket(ts_ms: Column, width_ms: int) -> Column:
     return ts_ms - ts_ms % F.lit(width_ms)
 
 
+#: Fixed value: what stands for a value that isn't stored.
+MASK = "[redacted]"
 #: Attributes that are masked when prompts aren't stored.
 SENSITIVE = ("prompt", "prompt_text", "user_prompt", "content", "message", "tool_parameters", "command", "full_command", "bash_command")
 
 
 def redacted(attributes: Column) -> Column:
     """A string map with the values of sensitive keys masked."""
-    return F.transform_values(attributes, lambda k, v: F.when(k.isin(*SENSITIVE), F.lit("[redacted]")).otherwise(v))
+    return F.transform_values(attributes, lambda k, v: F.when(k.isin(*SENSITIVE), F.lit(MASK)).otherwise(v))
 
 
 def single_line(text: Column, limit: int = 80) -> Column:
-    """Runs of white space, control characters and U+FFFD as one space; at most `limit` characters, the last three dots."""
+    """Runs of white space, control characters and U+FFFD as one space; at most `limit` bytes of UTF-8, the last three dots. A character that the cut would halve becomes U+FFFD."""
     line = F.trim(F.regexp_replace(text, r"(?U)[\s\p{Cntrl}�]+", " "))
-    return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 3), F.lit("..."))).otherwise(line)
+    cut = F.make_valid_utf8(F.substring(line.cast("binary"), 1, limit - 3).cast("string"))
+    return F.when(F.octet_length(line) > limit, F.concat(cut, F.lit("..."))).otherwise(line)

@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def arrival_window(seq: str):
+    return Window.partitionBy("series").orderBy(seq)
+
+
 def normalize(points: DataFrame, seq: str = "arrival") -> DataFrame:
     """series, time_ms, start_ms, value, delta, rule of accepted points.
 
@@ -13,7 +17,7 @@ def normalize(points: DataFrame, seq: str = "arrival") -> DataFrame:
     fallen value is a reset and counts in full; else the growth counts. Stale points never raise the high-water mark, so it is a running
     maximum of earlier arrivals, and the rest is a lag over what stays.
     """
-    arrived = Window.partitionBy("series").orderBy(seq)
+    arrived = arrival_window(seq)
     kept = points.withColumn("_high", F.max("time_ms").over(arrived.rowsBetween(Window.unboundedPreceding, -1))).where("_high is null or time_ms >= _high").drop("_high")
     kept = kept.withColumn("_value", F.lag("value").over(arrived)).withColumn("_start", F.lag("start_ms").over(arrived))
     reset = (F.col("start_ms") != F.col("_start")) | (F.col("value") < F.col("_value"))

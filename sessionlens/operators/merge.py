@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COST_COLUMNS = ("cost_usd", "input_tokens", "output_tokens", "cache_read", "cache_creation", "duration_ms", "is_error", "status_code", "cost_source")
 
 
 def insert_ignore(rows: DataFrame, key: list[str], seq: str = "arrival_seq", target: DataFrame | None = None) -> DataFrame:
-    """The first arrival of each key; with a target, only keys that it doesn't hold yet."""
-    first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*key).orderBy(seq))).where("_rank = 1").drop("_rank")
+    """The first arrival of each key, by an aggregate with map-side combining; with a target, only keys that it doesn't hold yet."""
+    own = [c for c in rows.columns if c not in key]
+    first = rows.groupBy(*key).agg(F.min_by(F.struct(*own), F.col(seq)).alias("_first")).select(*key, "_first.*").select(*rows.columns)
     return first if target is None else first.join(target.select(*key).distinct(), key, "left_anti")
 
 
@@ -48,9 +49,9 @@ def with_missing_sessions(sessions: DataFrame, *children: DataFrame) -> DataFram
 
 
 def retained_sessions(sessions: DataFrame, now_ms: int, max_age_ms: int, cap: int) -> DataFrame:
-    """Sessions young enough and among the `cap` latest; the rank is found by a distributed top-k, not a global window."""
-    young = sessions.where(F.col("last_seen") >= now_ms - max_age_ms)
-    return young.orderBy(F.desc("last_seen"), F.desc("id")).limit(cap)
+    """Sessions young enough and among the `cap` latest; an age or a cap of 0 or less turns that rule off. The rank is found by a distributed top-k, not a global window."""
+    young = sessions.where(F.col("last_seen") >= now_ms - max_age_ms) if max_age_ms > 0 else sessions
+    return young.orderBy(F.desc("last_seen"), F.desc("id")).limit(cap) if cap > 0 else young
 
 
 def retained_children(children: DataFrame, survivors: DataFrame) -> DataFrame:

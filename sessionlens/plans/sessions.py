@@ -17,7 +17,7 @@ def page_limit(limit: int) -> int:
 
 def session_list(t: Telemetry, since: int = 0, prefix: str = "") -> DataFrame:
     """Every session with its resolved totals and tool counts. `prefix` is matched without case; % and _ in it are wildcards."""
-    sessions = t.sessions
+    sessions = t.sessions.drop("token_source")  # resolved anew from what is stored
     if since > 0:
         sessions = sessions.where(F.col("last_seen") >= since)
     if prefix.strip():

@@ -11,8 +11,9 @@ from ..sources.adapter import Telemetry
 def prompt_fields(events: DataFrame) -> DataFrame:
     """events with prompt_length, if a JSON number, and prompt, if a non-empty JSON string."""
     value = F.try_parse_json("attrs_json")
-    is_number = F.get_json_object("attrs_json", "$.prompt_length").rlike(r"^-?[0-9]")
-    length = F.when(is_number, F.get_json_object("attrs_json", "$.prompt_length").try_cast("bigint"))
+    found = F.try_variant_get(value, "$.prompt_length", "variant")
+    is_number = F.schema_of_variant(found).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    length = F.when(is_number, F.try_variant_get(value, "$.prompt_length", "double").try_cast("bigint"))
     return events.withColumn("prompt_length", length).withColumn("prompt", F.nullif(F.try_variant_get(value, "$.prompt", "string"), F.lit("")))
 
 

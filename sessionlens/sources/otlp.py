@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 
-_VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>"
+#: Lists, maps and bytes are kept as the JSON text that they come in.
+_VALUE = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,arrayValue:string,kvlistValue:string,bytesValue:string>"
 _ATTRS = f"array<struct<key:string,value:{_VALUE}>>"
 _POINT = f"struct<attributes:{_ATTRS},startTimeUnixNano:string,timeUnixNano:string,asDouble:double,asInt:string>"
 METRICS = f"resourceMetrics array<struct<resource:struct<attributes:{_ATTRS}>,scopeMetrics:array<struct<metrics:array<struct<name:string,sum:struct<aggregationTemporality:int,isMonotonic:boolean,dataPoints:array<{_POINT}>>,gauge:struct<dataPoints:array<{_POINT}>>,histogram:struct<dataPoints:array<struct<count:string>>>>>>>>>"
@@ -21,7 +22,7 @@ MOST_KEYS, MOST_BYTES = 256, 65536
 
 def _as_map(attributes: Column) -> Column:
     """Attribute list to a string map; the last of equal keys wins, empty keys go."""
-    text = lambda v: F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"))
+    text = lambda v: F.coalesce(v["stringValue"], v["boolValue"].cast("string"), v["intValue"], v["doubleValue"].cast("string"), v["arrayValue"], v["kvlistValue"], v["bytesValue"])
     filled = F.filter(F.coalesce(attributes, F.array()), lambda a: F.coalesce(a["key"], F.lit("")) != "")
     names = F.array_distinct(F.transform(filled, lambda a: a["key"]))
     last = lambda k: F.element_at(F.filter(filled, lambda a: a["key"] == k), -1)
@@ -36,6 +37,16 @@ def _get(name: str, *more: str) -> Column:
     return F.coalesce(*(F.try_element_at(F.col("attrs"), F.lit(k)) for k in (name, *more)), F.lit(""))
 
 
+def _about() -> Column:
+    """What a record says of its session, its own attributes first."""
+    text = lambda *names: keys.first_text(*(F.try_element_at(F.col(m), F.lit(k)) for m in ("attrs", "res") for k in names))
+    return F.struct(text("app.version", "service.version").alias("app_version"), text("user.email").alias("user_email"), text("organization.id", "org.id", "org_id").alias("org_id"), text("model").alias("model"))
+
+
+def _stored(store_prompts: bool) -> Column:
+    return bounded_json(F.col("attrs") if store_prompts else keys.redacted(F.col("attrs")))
+
+
 def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
@@ -55,49 +66,49 @@ def metric_points(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
     dims = F.map_filter(F.map_concat(F.col("attrs"), F.when(F.map_contains_key("attrs", "session.id"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("session.id"), F.col("session_id")))), lambda k, v: k.isin(*DIMENSIONS) & (F.coalesce(v, F.lit("")) != ""))
     rows = rows.withColumn("series_key", keys.series_key(F.col("name"), dims)).withColumn("ts_ms", keys.ns_to_ms(F.col("time_ns"))).withColumn("attr_key", keys.first_text(*(F.try_element_at(F.col("attrs"), F.lit(k)) for k in ("type", "model", "language"))))
     bad = F.when(F.col("value").isNull(), "no value").when(F.isnan("value") | (F.abs("value") == F.lit(float("inf"))), "not finite")
-    rows = rows.withColumn("reason", bad)
+    rows = rows.withColumn("reason", bad).withColumn("about", _about()).withColumn("attrs_json", bounded_json(F.col("attrs")))
     shapes = m.where(~is_sum & F.col("m.gauge").isNull()).select(F.col("m.name").alias("name"), F.lit("unsupported shape").alias("reason"))
     return rows.where("reason is null").drop("res", "reason"), rows.where("reason is not null").select("name", "reason").unionByName(shapes)
 
 
 def log_records(exports: DataFrame) -> DataFrame:
-    """session_id, ts_ms, ts_ns, name, attrs, body of each record; the event time, else the observed one."""
+    """session_id, ts_ms, raw_ns, name, attrs, body, about of each record; ts_ms is the event time, else the observed one, raw_ns the event time as it came."""
     r = exports.select(F.explode("resourceLogs").alias("rl")).select("rl.resource", F.explode("rl.scopeLogs").alias("sl")).select("resource", F.explode("sl.logRecords").alias("r"))
     r = r.select("r", _as_map(F.col("r.attributes")).alias("attrs"), _as_map(F.col("resource.attributes")).alias("res"))
     number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0))
     ns = F.when(number("r.timeUnixNano") > 0, number("r.timeUnixNano")).otherwise(number("r.observedTimeUnixNano"))
-    return r.select(_session("attrs", "res").alias("session_id"), keys.ns_to_ms(ns).alias("ts_ms"), ns.alias("ts_ns"), keys.event_name(F.col("r.eventName"), F.try_element_at(F.col("attrs"), F.lit("event.name"))).alias("name"), "attrs", F.coalesce("r.body.stringValue", F.lit("")).alias("body"))
+    return r.select(_session("attrs", "res").alias("session_id"), keys.ns_to_ms(ns).alias("ts_ms"), number("r.timeUnixNano").alias("raw_ns"), keys.event_name(F.col("r.eventName"), F.try_element_at(F.col("attrs"), F.lit("event.name"))).alias("name"), "attrs", F.coalesce("r.body.stringValue", F.lit("")).alias("body"), _about().alias("about"))
 
 
-def api_requests(records: DataFrame) -> DataFrame:
+def api_requests(records: DataFrame, store_prompts: bool = True) -> DataFrame:
     rows = records.where("name in ('api_request', 'api_error')")
     number = lambda name, *more: keys.to_long(_get(name, *more))
     rows = rows.select(
         "session_id", "ts_ms", "name", _get("model").alias("model"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"), number("cache_read_tokens", "cache_read").alias("cache_read"), number("cache_creation_tokens", "cache_creation").alias("cache_creation"),
-        keys.to_double(_get("cost_usd")).alias("cost_usd"), number("duration_ms").alias("duration_ms"), (F.col("name") == "api_error").alias("is_error"), number("status_code").alias("status_code"),
+        keys.to_double(_get("cost_usd", "cost")).alias("cost_usd"), number("duration_ms", "duration").alias("duration_ms"), (F.col("name") == "api_error").alias("is_error"), number("status_code", "http.status_code").alias("status_code"), _stored(store_prompts).alias("attrs_json"),
     )
     key = keys.api_request_key(F.col("session_id"), F.col("name"), keys.ms_to_ns_text(F.col("ts_ms")), F.col("model"), F.col("input_tokens"), F.col("output_tokens"))
     return rows.withColumn("cost_source", F.lit("otlp")).withColumn("dedup_key", key).drop("name")
 
 
-def tool_decisions(records: DataFrame) -> DataFrame:
-    rows = records.where("name = 'tool_decision'").select("session_id", "ts_ms", _get("tool_name").alias("tool_name"), _get("decision").alias("decision"), _get("source").alias("source"))
+def tool_decisions(records: DataFrame, store_prompts: bool = True) -> DataFrame:
+    rows = records.where("name = 'tool_decision'").select("session_id", "ts_ms", _get("tool_name", "tool").alias("tool_name"), _get("decision").alias("decision"), _get("source").alias("source"), _stored(store_prompts).alias("attrs_json"))
     return rows.withColumn("dedup_key", keys.tool_decision_key(F.col("session_id"), keys.ms_to_ns_text(F.col("ts_ms")), F.col("tool_name"), F.col("decision"), F.col("source")))
 
 
-def tool_results(records: DataFrame) -> DataFrame:
+def tool_results(records: DataFrame, store_prompts: bool = True) -> DataFrame:
     nested = lambda *names: keys.first_text(*(F.get_json_object(_get("tool_parameters"), f"$.{n}") for n in names))
+    bash = keys.first_text(nested("bash_command", "command"), nested("full_command"))
     rows = records.where("name = 'tool_result'").select(
-        "session_id", "ts_ms", _get("tool_name").alias("tool_name"), keys.to_bool(_get("success")).alias("success"), keys.to_long(_get("duration_ms")).alias("duration_ms"),
-        keys.first_text(nested("bash_command", "command"), nested("full_command")).alias("bash_command"), keys.first_text(nested("mcp_server", "mcp_server_name", "server_name", "server"), keys.mcp_server(_get("tool_name"))).alias("mcp_server"),
+        "session_id", "ts_ms", _get("tool_name", "tool").alias("tool_name"), keys.to_bool(_get("success")).alias("success"), keys.to_long(_get("duration_ms", "duration")).alias("duration_ms"),
+        (bash if store_prompts else F.when(bash != "", F.lit(keys.MASK)).otherwise("")).alias("bash_command"), nested("mcp_server", "server_name", "server").alias("mcp_server"), _stored(store_prompts).alias("attrs_json"),
     )
     return rows.withColumn("dedup_key", keys.tool_result_key(F.col("session_id"), keys.ms_to_ns_text(F.col("ts_ms")), F.col("tool_name")))
 
 
 def generic_events(records: DataFrame, store_prompts: bool = True) -> DataFrame:
-    attrs = F.col("attrs") if store_prompts else keys.redacted(F.col("attrs"))
     rows = records.where("name not in ('api_request', 'api_error', 'tool_decision', 'tool_result')")
-    return rows.select("session_id", "ts_ms", "name", bounded_json(attrs).alias("attrs_json"), keys.event_key(F.col("session_id"), F.col("name"), F.col("ts_ns"), F.col("body")).alias("dedup_key"))
+    return rows.select("session_id", "ts_ms", "name", _stored(store_prompts).alias("attrs_json"), keys.event_key(F.col("session_id"), F.col("name"), F.col("raw_ns"), F.col("body")).alias("dedup_key"))
 
 
 def bounded_json(attributes: Column) -> Column:
@@ -113,10 +124,27 @@ def bounded_json(attributes: Column) -> Column:
     return F.when(F.octet_length(F.to_json(whole)) > MOST_BYTES, cut).when(many, F.to_json(F.map_concat(whole, marker))).otherwise(F.to_json(whole))
 
 
-def spans(exports: DataFrame) -> DataFrame:
+def sessions(points: DataFrame, records: DataFrame) -> DataFrame:
+    """One row a session id of accepted points and log records: earliest and latest known time, the first known texts, models in order of time, where its tokens come from, and whether it has log records."""
+    cost_or_tokens = F.col("name").isin("cost.usage", "claude_code.cost.usage", "token.usage", "claude_code.token.usage")
+    source = F.when(F.col("name").isin("api_request", "api_error"), F.lit(2))
+    rows = points.select("session_id", "ts_ms", "about", F.when(cost_or_tokens, F.lit(1)).alias("source"), F.lit(False).alias("logged"))
+    rows = rows.unionByName(records.select("session_id", "ts_ms", "about", source.alias("source"), F.lit(True).alias("logged"))).where("session_id <> ''")
+    known = F.when(F.col("ts_ms") > 0, F.col("ts_ms"))
+    first = lambda c: F.coalesce(F.min_by(f"about.{c}", F.when(F.col(f"about.{c}") != "", F.col("ts_ms"))), F.lit("")).alias(c)
+    merged = rows.groupBy(F.col("session_id").alias("id")).agg(
+        F.coalesce(F.min(known), F.lit(0)).alias("first_seen"), F.coalesce(F.max(known), F.lit(0)).alias("last_seen"), first("app_version"), first("user_email"), first("org_id"),
+        F.when(F.max("source") == 2, "events").when(F.max("source") == 1, "metrics").otherwise("").alias("token_source"), F.max("logged").alias("has_events"),
+    )
+    models = rows.where("about.model <> ''").groupBy(F.col("session_id").alias("id"), F.col("about.model").alias("model")).agg(F.min("ts_ms").alias("at"))
+    models = models.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "model"))), lambda x: x["model"]), ",").alias("model_set"))
+    return merged.join(models, "id", "left").withColumn("model_set", F.coalesce("model_set", F.lit("")))
+
+
+def spans(exports: DataFrame, store_prompts: bool = True) -> DataFrame:
     s = exports.select(F.explode("resourceSpans").alias("rs")).select("rs.resource", F.explode("rs.scopeSpans").alias("ss")).select("resource", F.explode("ss.spans").alias("s"))
     s = s.select("s", _as_map(F.col("s.attributes")).alias("attrs"), _as_map(F.col("resource.attributes")).alias("res"))
     text = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     time = lambda c: keys.ns_to_ms(F.coalesce(F.col(c).try_cast("bigint"), F.lit(0)))
-    rows = s.select(_session("attrs", "res").alias("session_id"), text("s.traceId").alias("trace_id"), text("s.spanId").alias("span_id"), text("s.parentSpanId").alias("parent_span_id"), F.col("s.name").alias("name"), time("s.startTimeUnixNano").alias("start_ts"), time("s.endTimeUnixNano").alias("end_ts"), keys.status_text(F.coalesce("s.status.code", F.lit(0))).alias("status"))
+    rows = s.select(_session("attrs", "res").alias("session_id"), text("s.traceId").alias("trace_id"), text("s.spanId").alias("span_id"), text("s.parentSpanId").alias("parent_span_id"), F.col("s.name").alias("name"), time("s.startTimeUnixNano").alias("start_ts"), time("s.endTimeUnixNano").alias("end_ts"), keys.status_text(F.coalesce("s.status.code", F.lit(0))).alias("status"), _stored(store_prompts).alias("attrs_json"))
     return rows.where("trace_id <> '' or span_id <> ''")

@@ -23,8 +23,12 @@ def read_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def decode(lines: DataFrame) -> DataFrame:
     """Lines with the record r, null where malformed."""
-    parsed = F.when(F.try_parse_json("value").isNotNull(), F.from_json("value", RECORD))
-    return lines.withColumn("r", parsed).withColumn("ts_ms", keys.parse_time_ms(F.col("r.timestamp")))
+    document = F.try_parse_json("value")
+    parsed = F.when(document.isNotNull(), F.from_json("value", RECORD))
+    # a prompt may look like an array; what it is, only the JSON type tells
+    kind = F.schema_of_variant(F.try_variant_get(document, "$.message.content", "variant"))
+    listed = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
+    return lines.withColumn("r", parsed).withColumn("listed", listed).withColumn("ts_ms", keys.parse_time_ms(F.col("r.timestamp")))
 
 
 def stats(decoded: DataFrame) -> DataFrame:
@@ -51,19 +55,20 @@ def api_requests(decoded: DataFrame) -> DataFrame:
 
 def _blocks(decoded: DataFrame, kind: str) -> DataFrame:
     """The content blocks of records of a type; content that isn't an array has none."""
-    content = F.trim(F.coalesce(F.col("r.message.content"), F.lit("")))
-    blocks = F.when(content.startswith("["), F.from_json(content, BLOCK))
+    blocks = F.when(F.col("listed"), F.from_json("r.message.content", BLOCK))
     return decoded.where(F.col("r.type") == kind).select("file", "pos", "ts_ms", "r", F.posexplode(blocks).alias("index", "block"))
 
 
-def tool_results(decoded: DataFrame) -> DataFrame:
-    """Results, each paired with the latest unconsumed tool use of its id before it in the file; unmatched ones have an empty tool name."""
+def tool_results(decoded: DataFrame, store_text: bool = True) -> DataFrame:
+    """Results, each paired with the latest unconsumed tool use of its id before it in the file; unmatched ones have an empty tool name, those without a time take the use's."""
     uses = _blocks(decoded, "assistant").where("block.type = 'tool_use'")
-    uses = uses.select("file", F.col("block.id").alias("tool_use_id"), F.struct("pos", "index").alias("pos"), F.col("block.name").alias("tool_name"), F.get_json_object("block.input", "$.command").alias("command"))
+    uses = uses.select("file", F.col("block.id").alias("tool_use_id"), F.struct("pos", "index").alias("pos"), F.col("block.name").alias("tool_name"), F.get_json_object("block.input", "$.command").alias("command"), F.col("ts_ms").alias("use_ms"))
     results = _blocks(decoded, "user").where("block.type = 'tool_result'")
     results = results.select("file", F.col("block.tool_use_id").alias("tool_use_id"), F.struct("pos", "index").alias("pos"), _text("r.sessionId").alias("session_id"), "ts_ms", (~F.coalesce("block.is_error", F.lit(False))).alias("success"))
     paired = pairing.pair(uses, results).withColumn("tool_name", _text("tool_name"))
-    bash = F.when(F.col("tool_name") == "Bash", _text("command")).otherwise("")
+    paired = paired.withColumn("ts_ms", F.when(F.col("ts_ms") == 0, F.coalesce("use_ms", F.lit(0))).otherwise(F.col("ts_ms")))
+    command = _text("command") if store_text else F.when(_text("command") != "", F.lit(keys.MASK)).otherwise("")
+    bash = F.when(F.col("tool_name") == "Bash", command).otherwise("")
     key = keys.tool_result_key(F.col("session_id"), keys.ms_to_ns_text(F.col("ts_ms")), F.col("tool_name"), F.col("tool_use_id"))
     return paired.select("session_id", "ts_ms", "tool_name", "success", bash.alias("bash_command"), keys.mcp_server(F.col("tool_name")).alias("mcp_server"), "tool_use_id", key.alias("dedup_key"))
 
@@ -72,7 +77,7 @@ def user_prompts(decoded: DataFrame, store_text: bool = True) -> DataFrame:
     """Prompts: a string content, or each text block that isn't blank. Lengths are in bytes."""
     content = F.col("r.message.content")
     base = decoded.where("r.type = 'user'")
-    plain = base.where(~F.trim(content).startswith("[") & (F.trim(content) != "")).select(_text("r.sessionId").alias("session_id"), "ts_ms", content.alias("text"), _text("r.uuid").alias("extra"))
+    plain = base.where(~F.col("listed") & (F.trim(content) != "")).select(_text("r.sessionId").alias("session_id"), "ts_ms", content.alias("text"), _text("r.uuid").alias("extra"))
     blocks = _blocks(decoded, "user").where("block.type = 'text' and trim(block.text) <> ''")
     blocks = blocks.select(_text("r.sessionId").alias("session_id"), "ts_ms", F.col("block.text").alias("text"), F.concat_ws(":", _text("r.uuid"), F.col("index").cast("string")).alias("extra"))
     rows = plain.unionByName(blocks)

@@ -2,44 +2,87 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Merge = Callable[[DataFrame], DataFrame]
+#: Commits that readers may still hold.
+KEPT = 2
 
 
 class SnapshotTable:
-    """A table as numbered snapshot folders: each batch writes the merge of the last snapshot and its own rows, so a replayed batch gives the same table.
+    """A table in buckets by key: each batch writes anew only the buckets that its rows fall into, as the merge of what they held and the rows.
 
-    `current.txt` names the snapshot that counts and is replaced last, so readers never see a half-written one.
+    A batch writes its buckets under batch=<id>, then one file commits/<id>.json that names each bucket's batch. The highest
+    commit counts, and none is ever replaced or deleted before a later one is there, so a crash at any point leaves the last whole state, and a replayed
+    batch gives the same table. Without a key the whole table is one bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str, merge: Merge):
-        self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
-        jvm = spark._jvm
-        self._pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/current.txt")
-        self._fs = self._pointer.getFileSystem(spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, merge: Merge, key: list[str] | None = None, buckets: int = 64):
+        self.spark, self.path, self.merge, self.key, self.buckets = spark, path.rstrip("/"), merge, key, buckets if key else 1
+        self._jpath = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._jpath(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _commits(self) -> list[int]:
+        folder = self._jpath(f"{self.path}/commits")
+        if not self._fs.exists(folder):
+            return []
+        names = [status.getPath().getName() for status in self._fs.listStatus(folder)]
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith((".", "_")))
 
     def current(self) -> int | None:
-        if not self._fs.exists(self._pointer):
+        commits = self._commits()
+        return commits[-1] if commits else None
+
+    def _places(self, commit: int | None) -> dict[str, int]:
+        """The batch that wrote each bucket."""
+        if commit is None:
+            return {}
+        return json.loads(self.spark.read.option("wholetext", "true").text(f"{self.path}/commits/{commit}.json").first()[0])
+
+    def _read(self, places: dict[str, int], schema=None) -> DataFrame | None:
+        if not places:
             return None
-        return int(self.spark.read.text(f"{self.path}/current.txt").first()[0])
+        reader = self.spark.read if schema is None else self.spark.read.schema(schema)
+        return reader.parquet(*(f"{self.path}/batch={batch}/bucket={bucket}" for bucket, batch in sorted(places.items())))
 
     def read(self) -> DataFrame | None:
-        n = self.current()
-        return None if n is None else self.spark.read.parquet(f"{self.path}/snapshot={n}")
+        return self._read(self._places(self.current()))
 
     def write_batch(self, rows: DataFrame, batch_id: int) -> None:
         """For foreachBatch; a batch that is already in is skipped."""
-        n = self.current()
-        if n is not None and n >= batch_id:
+        current = self.current()
+        if current is not None and current >= batch_id:
             return
-        held = self.read()
-        merged = self.merge(rows if held is None else held.unionByName(rows, allowMissingColumns=True))
-        merged.write.mode("overwrite").parquet(f"{self.path}/snapshot={batch_id}")
-        out = self._fs.create(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), True)
-        out.writeBytes(f"{batch_id}\n")
+        bucket = F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int") if self.key else F.lit(0)
+        rows = rows.persist()
+        try:
+            touched = sorted(r[0] for r in rows.select(bucket.alias("b")).distinct().collect())  # at most `buckets`
+            places = self._places(current)
+            held = self._read({b: n for b, n in places.items() if int(b) in touched})
+            merged = self.merge(rows if held is None else held.unionByName(rows, allowMissingColumns=True))
+            merged.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+        there = {str(b): self._fs.exists(self._jpath(f"{self.path}/batch={batch_id}/bucket={b}")) for b in touched}
+        text = json.dumps({b: n for b, n in places.items() if b not in there} | {b: batch_id for b, is_there in there.items() if is_there})
+        out = self._fs.create(self._jpath(f"{self.path}/commits/.{batch_id}.tmp"), True)
+        out.write(bytearray(text.encode()))
         out.close()
-        self._fs.delete(self._pointer, True)
-        self._fs.rename(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/next.txt"), self._pointer)
+        if not self._fs.rename(self._jpath(f"{self.path}/commits/.{batch_id}.tmp"), self._jpath(f"{self.path}/commits/{batch_id}.json")):
+            raise OSError(f"batch {batch_id} could not be committed")
+        self._forget()
+
+    def _forget(self) -> None:
+        """Delete what only commits before the last KEPT name."""
+        commits = self._commits()
+        old, held = commits[:-KEPT], commits[-KEPT:]
+        used = {batch for commit in held for batch in self._places(commit).values()}
+        for commit in old:
+            for bucket, batch in self._places(commit).items():
+                if self._places(held[0]).get(bucket) != batch and batch not in used:
+                    self._fs.delete(self._jpath(f"{self.path}/batch={batch}"), True)
+            self._fs.delete(self._jpath(f"{self.path}/commits/{commit}.json"), False)

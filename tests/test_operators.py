@@ -96,11 +96,32 @@ def test_retention(spark):
     assert [r[0] for r in merge.orphan_series(state, points).collect()] == ["y"]
 
 
+def test_retention_rules_are_off_at_zero(spark):
+    s = spark.createDataFrame([("a", 100), ("b", 200)], "id string, last_seen bigint")
+    assert merge.retained_sessions(s, 1000, 0, 0).count() == 2 and merge.retained_sessions(s, 1000, 850, 0).count() == 1 and merge.retained_sessions(s, 1000, 0, 1).count() == 1
+
+
+def test_prompt_length_is_a_json_number(spark):
+    values = ['{"prompt_length":12,"prompt":"x"}', '{"prompt_length":"12"}', '{"prompt_length":3.9}', '{"prompt_length":true}', "{}", "no json", None]
+    df = spark.createDataFrame([(v,) for v in values], "attrs_json string")
+    assert [r["prompt_length"] for r in timeline.prompt_fields(df).collect()] == [12, None, 3, None, None, None, None]
+
+
+def test_single_line_is_cut_by_bytes(spark):
+    values = ["a\n\tb  c", "x" * 81, "é" * 41, "é" * 40, "  "]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "t string").select(keys.single_line(F.col("t"))).collect()]
+    assert got[0] == "a b c" and got[1] == "x" * 77 + "..." and got[3] == "é" * 40 and got[4] == ""
+    assert got[2].startswith("é" * 38) and got[2].endswith("...") and len(got[2]) == 42
+
+
 def test_pairing(spark):
     uses = spark.createDataFrame([("f", "i", 1, "Bash"), ("f", "i", 4, "Edit"), ("f", "j", 2, "Read")], "file string, tool_use_id string, pos int, tool string")
     results = spark.createDataFrame([("f", "i", 0, "r0"), ("f", "i", 2, "r2"), ("f", "i", 3, "r3"), ("f", "i", 5, "r5"), ("f", "z", 6, "r6")], "file string, tool_use_id string, pos int, result string")
     got = {r["result"]: r["tool"] for r in pairing.pair(uses, results).collect()}
     assert got == {"r0": None, "r2": "Bash", "r3": None, "r5": "Edit", "r6": None}
+    nameless = spark.createDataFrame([("f", None, 1, "Bash"), ("f", "", 4, "Edit")], "file string, tool_use_id string, pos int, tool string")
+    replies = spark.createDataFrame([("f", None, 2, "r0"), ("f", "", 5, "r2")], "file string, tool_use_id string, pos int, result string")
+    assert {r["result"]: r["tool"] for r in pairing.pair(nameless, replies).collect()} == {"r0": None, "r2": None}
 
 
 def test_axis_takes_one_source_only(spark):
@@ -154,6 +175,10 @@ def test_indent_equals_a_fold(spark):
 
 def test_formats():
     assert (formats.parse_duration("90d"), formats.parse_duration("1h30m"), formats.parse_size("16MB"), formats.parse_size("32 KiB")) == (7776000, 5400, 16 << 20, 32768)
-    assert formats.since_of("all", 5) == 0 and formats.cost(0.125) == "$0.12" and formats.tokens(1500) == "1.5K"
+    assert formats.since_of("all", 5) == 0 and formats.cost(0.125) == "$0.12" and formats.cost(-1) == "$0.00"
+    assert [formats.tokens(n) for n in (-5, 999, 1500, 128_000, 999_949, 2_000_000)] == ["0", "999", "1.5K", "128K", "999.9K", "2M"]
+    assert [formats.duration(n) for n in (250, 1500, 61_500, 3_720_000)] == ["250ms", "1.5s", "1m 1s", "62m 0s"]
+    assert [formats.percent(x) for x in (0.125, -1.0, 0.714)] == ["13%", "0%", "71%"] and formats.grouped(1234567) == "1,234,567"
+    assert formats.time_range(1767225600000, 1767229200000) == "00:00–01:00 (60m 0s)" and formats.time_range(60_000, 0) == "00:01–00:00 (0ms)" and formats.or_dash("") == "-"
     with pytest.raises(ValueError):
         formats.parse_duration("soon")

@@ -1,8 +1,10 @@
 """Transcripts, OTLP/JSON and the append-aware source."""
 
+import hashlib
 import json
 
-from sessionlens.sources import otlp, transcript
+from sessionlens.plans import cost, sessions
+from sessionlens.sources import collect, otlp, transcript
 from sessionlens.sources.append_jsonl import AppendJsonl, _Reader
 
 
@@ -64,6 +66,73 @@ def test_otlp(spark, tmp_path):
     assert (span["trace_id"], span["status"]) == ("ab", "error")
 
 
+def export(*records):
+    return {"resourceLogs": [{"resource": {"attributes": attrs(session__id="s", service__version="2")}, "scopeLogs": [{"logRecords": list(records)}]}]}
+
+
+def record(name, **a):
+    return {"timeUnixNano": "1767225601500000000", "eventName": f"claude_code.{name}", "attributes": attrs(**a)}
+
+
+def test_prompts_that_look_like_lists(spark, tmp_path):
+    user = lambda content, n: line(type="user", uuid=f"u{n}", message={"role": "user", "content": content})
+    (tmp_path / "a.jsonl").write_text("\n".join([user("[draft] please fix", 1), user("[1, 2]", 2), user([{"type": "text", "text": "yes"}], 3), user([{"type": "text", "text": " "}], 4), user("", 5)]))
+    decoded = transcript.decode(transcript.read_lines(spark, str(tmp_path)))
+    assert sorted(json.loads(r["attrs_json"])["prompt"] for r in transcript.user_prompts(decoded).collect()) == ["[1, 2]", "[draft] please fix", "yes"]
+
+
+def test_uses_without_an_id_are_skipped(spark, tmp_path):
+    results = [{"type": "tool_result"}, {"type": "tool_result", "tool_use_id": ""}, {"type": "tool_result", "tool_use_id": "t1"}]
+    uses = [{"type": "tool_use", "name": "Bash", "input": {"command": "rm"}}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}]
+    (tmp_path / "a.jsonl").write_text("\n".join([assistant(uses), line(type="user", timestamp="?", message={"role": "user", "content": results})]))
+    decoded = transcript.decode(transcript.read_lines(spark, str(tmp_path)))
+    rows = sorted((r["tool_name"], r["bash_command"], r["ts_ms"]) for r in transcript.tool_results(decoded).collect())
+    assert rows == [("", "", 0), ("", "", 0), ("Bash", "ls", 1767225601500)]
+    assert sorted(r["bash_command"] for r in transcript.tool_results(decoded, False).collect()) == ["", "", "[redacted]"]
+
+
+def test_second_names_masks_and_attributes(spark, tmp_path):
+    records = [record("api_request", model="m", cost=0.25, duration=7.0, http__status_code="200"), record("tool_result", tool="Bash", success="true", duration="9", tool_parameters='{"command":"rm x","server":"srv"}', full_command="rm x"), record("tool_decision", tool="Edit", decision="accept", source="hook")]
+    records[0]["attributes"].append({"key": "tags", "value": {"arrayValue": {"values": [{"stringValue": "a"}]}}})
+    (tmp_path / "l.json").write_text(json.dumps(export(*records)))
+    r = otlp.log_records(otlp.read(spark, str(tmp_path / "l.json"), otlp.LOGS))
+    call, result, decision = otlp.api_requests(r).first(), otlp.tool_results(r, False).first(), otlp.tool_decisions(r).first()
+    assert (call["cost_usd"], call["duration_ms"], call["status_code"]) == (0.25, 7, 200) and "stringValue" in json.loads(call["attrs_json"])["tags"]
+    assert (result["tool_name"], result["duration_ms"], result["bash_command"], result["mcp_server"]) == ("Bash", 9, "[redacted]", "srv")
+    assert "rm x" not in result["attrs_json"] and decision["tool_name"] == "Edit"
+    assert otlp.tool_results(r).first()["bash_command"] == "rm x"
+
+
+def test_events_are_keyed_by_the_time_as_it_came(spark, tmp_path):
+    late = {k: v for k, v in record("other", x="1").items() if k != "timeUnixNano"} | {"observedTimeUnixNano": "1767225601500000000"}
+    (tmp_path / "l.json").write_text(json.dumps(export(late)))
+    event = otlp.generic_events(otlp.log_records(otlp.read(spark, str(tmp_path / "l.json"), otlp.LOGS))).first()
+    assert event["ts_ms"] == 1767225601500 and event["dedup_key"] == hashlib.sha256(b"s\0other\x000\0").hexdigest()[:16]
+
+
+def test_folders_to_plans(spark, tmp_path):
+    """One request in both sources: one row, at the export's cost; a metric-only session beside it."""
+    use = {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "a.jsonl").write_text("\n".join([assistant([use]), line(type="user", message={"role": "user", "content": [{"type": "tool_result", "tool_use_id": "t1"}]})]))
+    (tmp_path / "l.json").write_text(json.dumps(export(record("api_request", model="claude-opus-4", input_tokens="6", output_tokens="29", cost_usd=0.5), record("user_prompt", prompt="hi", prompt_length="2"), record("tool_decision", tool_name="Bash", decision="accept", source="hook"))))
+    point = lambda value, at: {"timeUnixNano": str(1767225600000000000 + at), "startTimeUnixNano": "5", "asDouble": value, "attributes": attrs(session__id="m", model="claude-haiku-4")}
+    metrics = {"resourceMetrics": [{"resource": {"attributes": []}, "scopeMetrics": [{"metrics": [{"name": "cost.usage", "sum": {"aggregationTemporality": 2, "dataPoints": [point(1.0, 0), point(1.5, 10**9), point(1.5, 10**9), point(0.25, 2 * 10**9)]}}]}]}]}
+    (tmp_path / "m.json").write_text(json.dumps(metrics))
+    t = collect.from_folders(spark, str(tmp_path / "t"), str(tmp_path / "m.json"), str(tmp_path / "l.json"))
+    (call,) = t.api_requests.collect()
+    assert (call["cost_usd"], call["cost_source"], call["session_id"]) == (0.5, "otlp", "s")
+    rows = {r["id"]: r for r in sessions.session_list(t).collect()}
+    assert (rows["s"]["token_source"], rows["s"]["cost_usd"], rows["s"]["tool_accept"], rows["s"]["model_set"]) == ("events", 0.5, 1, "claude-opus-4")
+    # baseline 0, growth 0.5 once, reset in full
+    assert (rows["m"]["token_source"], rows["m"]["cost_usd"]) == ("metrics", 0.75)
+    assert {r["model"]: r["cost_usd"] for r in cost.cost_by_model(t).collect()} == {"claude-opus-4": 0.5, "claude-haiku-4": 0.75}
+    about = {r["id"]: r for r in t.sessions.collect()}
+    assert (about["s"]["app_version"], about["s"]["has_events"], about["s"]["repo"], about["m"]["has_events"]) == ("2", True, "repo", False)
+    alone = collect.from_folders(spark, str(tmp_path / "t"))
+    assert alone.api_requests.first()["cost_source"] == "jsonl-estimate" and sessions.session_list(alone).count() == 1
+
+
 def test_append_reader(tmp_path):
     reader = _Reader(str(tmp_path), 1 << 20)
     path = tmp_path / "a.jsonl"

@@ -45,3 +45,22 @@ def test_snapshot_table_is_idempotent(spark, tmp_path):
     table.write_batch(batch, 0)
     table.write_batch(spark.createDataFrame([("a", 3), ("c", 4)], "k string, seq int"), 1)
     assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 2), ("c", 4)]
+
+
+def test_only_touched_buckets_are_written_and_a_crash_loses_nothing(spark, tmp_path):
+    make = lambda: SnapshotTable(spark, f"file://{tmp_path}/t", lambda df: merge.insert_ignore(df, ["k"], "seq"), key=["k"], buckets=8)
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, seq int")
+    table = make()
+    table.write_batch(rows(*((f"k{n}", n) for n in range(40))), 0)
+    for batch in range(1, 5):
+        table.write_batch(rows(("k3", 100 + batch), (f"new{batch}", batch)), batch)
+        assert 1 <= len(list((tmp_path / "t" / f"batch={batch}").glob("bucket=*"))) <= 2
+    # a batch that was written and not committed, and a commit that was begun
+    table.spark.createDataFrame([("k1", -1)], "k string, seq int").write.parquet(f"file://{tmp_path}/t/batch=5/bucket=0")
+    (tmp_path / "t" / "commits" / ".5.tmp").write_text("{")
+    again = make()
+    want = {f"k{n}": n for n in range(40)} | {f"new{b}": b for b in range(1, 5)}
+    assert {r["k"]: r["seq"] for r in again.read().collect()} == want
+    again.write_batch(rows(("last", 9)), 5)
+    assert {r["k"]: r["seq"] for r in make().read().collect()} == want | {"last": 9}
+    assert len(list((tmp_path / "t" / "commits").glob("[0-9]*.json"))) == 2
