@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BLOCK = 3_000
+BLOCK, LOOKUPS = 3_000, 8_192
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
 OPEN_FILES, OPEN_BLOCKS = 32, 4
@@ -282,7 +282,8 @@ def read_back(pages: DataFrame, archive: Archive) -> DataFrame:
             yield out.astype({"page_id": "int64", "payload_bytes": "int64", "refers_to": "Int64"})
 
     wanted = pages.select(url_key(F.col("url")).alias("key"), F.col("page_id").cast("long").alias("page_id")).where("page_id is not null")
-    wanted = wanted.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
+    # rows are tiny and reads aren't, so partitions follow the number of records, not of bytes
+    wanted = wanted.repartitionByRange(max(1, -(-wanted.count() // LOOKUPS)), "key", "page_id").sortWithinPartitions("key", "page_id")
     return wanted.mapInPandas(look_up, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
