@@ -148,8 +148,8 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     # at most 3 ** len(RULES) patterns
     counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("pattern").agg(F.count_if(~failed), F.count(F.lit(1))).collect()}
     posterior = fit(counts)
-    table = F.lit(None).cast("double") if not posterior else F.element_at(F.map_from_arrays(F.array(*map(F.lit, posterior)), F.array(*map(F.lit, posterior.values()))), F.col("pattern"))
-    rows = rows.withColumn("posterior", table).withColumn("base_failed", failed)
+    table = F.broadcast(docs.sparkSession.createDataFrame(list(posterior.items()), "pattern int, posterior double"))
+    rows = rows.join(table, "pattern", "left").withColumn("base_failed", failed)
     return rows.select("doc_id", *MEASURES, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= threshold)).alias("kept"), "posterior")
 
 
