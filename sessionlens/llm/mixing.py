@@ -1,10 +1,9 @@
 """Mixing sources to target weights by soft membership, with DataFrame functions only.
 
-A labelled table (doc_id, domain) trains a naive Bayes classifier of hashed words; it gives every document a posterior over the domains,
-at a resolution of 1 / STEPS. Document rates r >= 0 are then fitted so that the expected domain token totals sum(r * tokens * posterior)
+A labelled table (doc_id, domain) trains a naive Bayes classifier of hashed words; it gives every document a posterior over the domains.
+The evidence of n words counts as that of sqrt(n) * SOFT, which keeps the memberships of long texts soft. Document rates r >= 0 are then fitted so that the expected domain token totals sum(r * tokens * posterior)
 match the targets: the minimum of the squared differences plus a small pull of all rates to 1, found to the end by Newton steps on its
-dual, which has one unknown a domain, so that rare domains settle as fast as others. Rates depend on the posterior alone, so documents of
-equal posteriors are added up first. Only sums over K domains and their pairs reach the driver.
+dual, which has one unknown a domain, so that rare domains settle as fast as others. Only sums over K domains and their pairs reach the driver.
 
 The classifier learns from at most FIT_ROWS labelled documents of each domain, those with the smallest hash of doc_id.
 """
@@ -23,9 +22,7 @@ from . import common
 
 FIT_ROWS = 1_500
 BUCKETS = 4096
-#: The evidence of a long text counts as that of so many words, which keeps memberships soft.
-EVIDENCE = 40
-STEPS = 64
+SOFT = 2.0
 PULL = 1e-4
 #: Steps of the fit end where totals and residuals agree to CLOSE; MOST_STEPS without that is an error.
 CLOSE, MOST_STEPS = 1e-8, 200
@@ -75,17 +72,17 @@ def word_weights(docs: DataFrame, labelled: DataFrame, domains: list[str], fit_r
 
 
 def posteriors(docs: DataFrame, weights: list[list[float]], prior: list[float]) -> DataFrame:
-    """doc_id, n_tokens, p (array of posterior * STEPS, as int) of each distinct doc_id; rows that share one, or have none, are one unit."""
+    """doc_id, n_tokens, m (array of posteriors) of each distinct doc_id; rows that share one, or have none, are one unit."""
     k = len(prior)
     words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_words(F.col("text"))).alias("word"))
     words = words.select("doc_id", (F.col("word") != "").alias("real"), _bucket(F.col("word")).alias("b"))
     sums = words.groupBy("doc_id").agg(F.count_if("real").alias("n_tokens"), *(F.sum(F.when(F.col("real"), _constant(w, "array<double>")[F.col("b")])).alias(f"s{i}") for i, w in enumerate(weights)))
-    scale = F.lit(1.0) / F.greatest(F.lit(1.0), F.col("n_tokens") / F.lit(float(EVIDENCE)))
+    scale = F.least(F.lit(1.0), F.lit(SOFT) / F.sqrt(F.greatest(F.lit(1.0), F.col("n_tokens"))))
     logits = [F.coalesce(F.col(f"s{i}"), F.lit(0.0)) * scale + F.lit(prior[i]) for i in range(k)]
     top = F.greatest(*logits) if k > 1 else logits[0]
     sums = sums.select("doc_id", "n_tokens", F.array(*(F.exp(x - top) for x in logits)).alias("e"))
     whole = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return sums.select("doc_id", "n_tokens", F.transform("e", lambda x: F.round(x / whole * STEPS).cast("int")).alias("p"))
+    return sums.select("doc_id", "n_tokens", F.transform("e", lambda x: x / whole).alias("m"))
 
 
 def _rate(pulls: list[float], least: float) -> Column:
@@ -149,21 +146,18 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], grow: l
     domains = sorted(targets)
     weights, prior = word_weights(docs, labelled, domains)
     table = common.written(posteriors(docs, weights, prior), "posteriors")
-    whole = F.greatest(F.lit(1), F.aggregate("p", F.lit(0), lambda a, x: a + x))
-    shares = F.transform("p", lambda x: x / whole)
-    groups = common.written(table.groupBy("p").agg(F.sum("n_tokens").alias("n_tokens")).withColumn("m", shares), "groups").coalesce(4)
-    row = groups.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col("m")[i]) for i in range(len(domains)))).first()
+    row = table.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col("m")[i]) for i in range(len(domains)))).first()
     everything = float(row[0] or 0)
     natural = [float(x or 0) / max(1.0, everything) for x in row[1:]]
     weight = sum(targets.values())
     size = max([1.0 if not grow else 0.0, *(n * weight / targets[d] for d, n in zip(domains, natural, strict=True) if d in (grow or []) and targets[d] > 0)]) or 1.0
     wanted = [targets[d] / weight * size for d in domains]
-    pulls, reached = fit_rates(groups, wanted, least)
+    pulls, reached = fit_rates(table, wanted, least)
     missed = {d: (t, r) for d, t, r in zip(domains, wanted, reached, strict=True) if everything and abs(t - r) > MISSED}
     if missed:
         warnings.warn("mixing targets not met (domain: target, reached): " + ", ".join(f"{d}: {t:.4f}, {r:.4f}" for d, (t, r) in missed.items()), stacklevel=2)
-    best = F.array_position("p", F.array_max("p")).cast("int")
-    out = table.withColumn("m", shares).select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(pulls, least).alias("rate"))
+    best = F.array_position("m", F.array_max("m")).cast("int")
+    out = table.select("doc_id", "n_tokens", F.element_at(_constant(domains, "array<string>"), best).alias("domain"), F.array_max("m").alias("posterior"), _rate(pulls, least).alias("rate"))
     return out, {d: (n, t, r) for d, n, t, r in zip(domains, natural, wanted, reached, strict=True)}
 
 

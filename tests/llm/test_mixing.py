@@ -32,7 +32,7 @@ def test_rates_meet_targets_and_equal_numpy(spark):
         assert abs(target - reached) < 0.01
     weights, prior = mixing.word_weights(docs(spark, rows), labelled, ["a", "b"])
     table = mixing.posteriors(docs(spark, rows), weights, prior).collect()
-    p, n = np.array([r["p"] for r in table], float), np.array([r["n_tokens"] for r in table], float)
+    p, n = np.array([r["m"] for r in table], float), np.array([r["n_tokens"] for r in table], float)
     want, _ = fitted(p, n, np.array([0.4, 0.6]))
     assert max(abs(got[r["doc_id"]]["rate"] - w) for r, w in zip(table, want, strict=True)) < 0.02
 
@@ -65,9 +65,9 @@ def test_posteriors_equal_plain_bayes(spark):
     for r in mixing.posteriors(docs(spark, rows), weights, [0.0, -1.0]).collect():
         words = Counter((dict(rows)[r["doc_id"]] or "").split())
         n = sum(words.values())
-        logit = [sum(c * w[hashes[x]] for x, c in words.items()) / max(1.0, n / mixing.EVIDENCE) + q for w, q in zip(weights, [0.0, -1.0], strict=True)]
+        logit = [sum(c * w[hashes[x]] for x, c in words.items()) * min(1.0, mixing.SOFT / math.sqrt(max(1, n))) + q for w, q in zip(weights, [0.0, -1.0], strict=True)]
         first = 1 / (1 + math.exp(logit[1] - logit[0]))
-        assert r["n_tokens"] == n and abs(r["p"][0] - mixing.STEPS * first) <= 0.51
+        assert r["n_tokens"] == n and abs(r["m"][0] - first) < 1e-9
 
 
 def test_growing_domains_and_copies(spark):
