@@ -206,7 +206,7 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
                 yield np.empty(0, np.uint64)
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 50_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 20_000) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
     """From batches sorted by keys: frames of whole groups, with the groups' bounds. A frame has about `rows` rows, or one larger group."""
     held: list[pd.DataFrame] = []
 

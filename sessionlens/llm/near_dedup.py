@@ -152,7 +152,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _confirmer(least: int, percent: int):
     def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """A spanning forest of each task's confirmed links, as stars around the smallest member."""
-        for frame, bounds in common.whole_groups(batches, ["token", "low", "high"], 2_000):
+        for frame, bounds in common.whole_groups(batches, ["token", "low", "high"], 1_000):
             out: list[tuple[int, int]] = []
             rep, low, high = frame["rep"].to_numpy(), frame["low"].to_numpy(), frame["high"].to_numpy()
             sig, earlier, block, comp = _sigs(frame["sig"]), frame["earlier"].to_numpy(), frame["block"].to_numpy(), frame["comp"].to_numpy()

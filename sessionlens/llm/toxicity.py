@@ -20,6 +20,7 @@ learned from. Texts of any length are scored whole.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -39,7 +40,7 @@ NEIGHBOURS, SOFT = 15, 0.05
 BLOCK, AT_ONCE, TOGETHER, OFTEN = 128, 4, 32, 12
 PREFIXES = (4, 6)
 #: Words and scores that a task remembers.
-REMEMBER = 100_000
+REMEMBER = 50_000
 _STRIP = "\"'.,;:!?#*$%&|<>()[]{}=_-+/\\~`^@…“”„«»‚‘’¿¡"
 
 Row = tuple[np.ndarray, np.ndarray]  # term numbers, ascending, and 1 + log of their counts
@@ -218,7 +219,7 @@ class Model:
 
     def scores(self, rows: list[Row]) -> list[tuple[float, str]]:
         """Scores, and the evidence: nearest examples as doc_id:label:cosine. Equal rows are looked up once."""
-        keys = [terms.tobytes() + counts.tobytes() for terms, counts in rows]
+        keys = [hashlib.blake2b(terms.tobytes() + counts.tobytes(), digest_size=16).digest() for terms, counts in rows]
         if len(self.seen) >= REMEMBER // 10:
             self.seen.clear()
         new = {key: row for key, row in zip(keys, rows, strict=True) if key not in self.seen}
@@ -309,7 +310,10 @@ def _scorer(model: Model):
     reader = Vectors(model.vocabulary)
 
     def run(texts: list[str]) -> list[tuple]:
-        return [(s, int(s >= 0.5), evidence) for s, evidence in model.scores([reader.row(t) for t in texts])]
+        out = []
+        for begin in range(0, len(texts), 8 * TOGETHER):  # rows are larger than texts, so few at a time
+            out += [(s, int(s >= 0.5), evidence) for s, evidence in model.scores([reader.row(t) for t in texts[begin : begin + 8 * TOGETHER]])]
+        return out
 
     return run
 
@@ -321,7 +325,9 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score_all = _scorer(held.value)
         for batch in batches:
-            yield batch.filter(pa.array([s < threshold for s, _, _ in score_all([t or "" for t in batch.column("text").to_pylist()])], pa.bool_()))
+            for begin in range(0, batch.num_rows, 1024):
+                part = batch.slice(begin, 1024)
+                yield part.filter(pa.array([s < threshold for s, _, _ in score_all([t or "" for t in part.column("text").to_pylist()])], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
