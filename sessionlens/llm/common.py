@@ -66,6 +66,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver's JVM collect garbage, so that executors delete the shuffle files of queries that have ended. Written tables don't need them."""
+    spark._jvm.System.gc()
+
+
 def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], spread_by: str, salts: int = 16) -> DataFrame:
     """left LEFT JOIN right, with the rows of one key dealt to `salts` tasks; right has one row a key."""
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
