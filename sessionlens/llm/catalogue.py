@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, fim, golden, html_text, mixing, near_dedup, pii, quality, substrings, topk, toxicity, warc
+from . import byte_bpe, fim, golden, html_text, lattice, mixing, near_dedup, pii, quality, substrings, topk, toxicity, warc
 
 QUERIES = {
     "op1_topk": topk.op1_topk,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_substrings": substrings.op8_substrings,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_warc": warc.op10_warc,
+    "op11_embedding_dedup": lattice.op11_embedding_dedup,
     "op12_fim": fim.op12_fim,
     "op13_golden": golden.op13_golden,
 }
