@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
 from .functions import keys, pricing
 from .operators import axis, delta, merge, pairing
 from .plans import cost, daily, export, sessions, timeline, tools
-from .sources import collect, otlp
+from .sources import append_jsonl, collect, otlp, transcript
 from .sources.adapter import Telemetry
+from .streaming import pair_stream, runs
 
 #: A time in the driver's events, used as `now` and `since`.
 DAY_MS = 86_400_000
+#: Starts of a streaming query on one checkpoint.
+STARTS = 3
 
 _ADAPTER = """
 WITH base AS (
@@ -237,8 +241,8 @@ _add("cost_series_session", lambda t: cost.cost_series(t, "hour", session=_ONE),
 _add("tools_by_source_session", lambda t: tools.by_source(t, _SINCE, _ONE), f"{_ADAPTER} SELECT source, CAST(count(*) FILTER (WHERE decision = 'accept') AS BIGINT) AS accept, CAST(count(*) FILTER (WHERE decision = 'reject') AS BIGINT) AS reject FROM td WHERE ts_ms >= {_SINCE} AND session_id = '{_ONE}' GROUP BY 1")
 
 
-def _collected(t: Telemetry) -> collect.Collected:
-    """The driver's requests and results as transcript lines, and a part of the requests again as log exports, taken in from there."""
+def _lines(t: Telemetry) -> DataFrame:
+    """The driver's requests and results as transcript lines (file, pos, value)."""
     time = lambda ms: F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
     requests = t.api_requests.where("not is_error")
     usage = F.struct("input_tokens", "output_tokens", F.col("cache_creation").alias("cache_creation_input_tokens"), F.col("cache_read").alias("cache_read_input_tokens"))
@@ -249,13 +253,48 @@ def _collected(t: Telemetry) -> collect.Collected:
     result = F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), "id").alias("tool_use_id"), (F.col("k") % 4 == 0).alias("is_error"))
     replies = requests.where("k % 2 = 0").select("session_id", (F.col("id") * 3 + 1).alias("pos"), F.to_json(F.struct(*head("user", 1), F.struct(F.lit("user").alias("role"), F.array(result).alias("content")).alias("message"))).alias("value"))
     prompts = requests.where("k % 5 = 0").select("session_id", (F.col("id") * 3 + 2).alias("pos"), F.to_json(F.struct(*head("user", 2), F.struct(F.lit("user").alias("role"), F.concat(F.lit("[draft] say "), "k").alias("content")).alias("message"))).alias("value"))
-    lines = uses.unionByName(replies).unionByName(prompts).withColumnRenamed("session_id", "file")
+    return uses.unionByName(replies).unionByName(prompts).withColumnRenamed("session_id", "file")
+
+
+def _logs(t: Telemetry) -> DataFrame:
+    """A part of the requests as log exports."""
+    requests = t.api_requests.where("not is_error and k % 3 = 0")
     said = lambda name, value: F.struct(F.lit(name).alias("key"), F.struct(value.cast("string").alias("stringValue")).alias("value"))
     attributes = F.array(said("session.id", F.col("session_id")), said("model", F.col("model")), said("input_tokens", F.col("input_tokens")), said("output_tokens", F.col("output_tokens")), said("cost", F.col("cost_usd")), said("duration", F.col("duration_ms")), said("app.version", F.lit("9")))
     record = F.struct((F.col("ts_ms") * 1_000_000).cast("string").alias("timeUnixNano"), F.lit("claude_code.api_request").alias("eventName"), attributes.alias("attributes"))
     document = F.to_json(F.struct(F.array(F.struct(F.array(F.struct(F.array(record).alias("logRecords"))).alias("scopeLogs"))).alias("resourceLogs")))
-    logs = requests.where("k % 3 = 0").select(F.from_json(document, otlp.LOGS).alias("d")).select("d.*")
-    return collect.collect(lines, logs=logs)
+    return requests.select(F.from_json(document, otlp.LOGS).alias("d")).select("d.*")
+
+
+def _collected(t: Telemetry) -> collect.Collected:
+    """The driver's rows taken in again from transcript lines and exports."""
+    return collect.collect(_lines(t), logs=_logs(t))
+
+
+def _written_lines(t: Telemetry, files: int = 16) -> str:
+    """A new folder with the transcript lines in so many *.jsonl files, a session's lines in one of them and in order."""
+    spark = t.events_base.sparkSession
+    folder = shared.new_folder(spark, "lines")
+    _lines(t).repartition(files, "file").sortWithinPartitions("file", "pos").select("value").write.text(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files_there = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in files_there.listStatus(path):
+        if status.getPath().getName().endswith(".txt"):
+            files_there.rename(status.getPath(), status.getPath().suffix(".jsonl"))
+    return folder
+
+
+def _followed_tools(t: Telemetry) -> DataFrame:
+    """transcript_tools from a stream of growing files: several starts on one checkpoint, each with a part of the bytes, so that calls stay open between them."""
+    spark = t.events_base.sparkSession
+    folder, out = _written_lines(t), shared.new_folder(spark, "followed")
+    checkpoint = f"{out}-progress"
+    total = sum(append_jsonl.sizes(folder).values())
+    for _ in range(STARTS):
+        lines = append_jsonl.follow(spark, folder, checkpoint, -(-total // STARTS)).withColumnRenamed("offset", "pos")
+        results = pair_stream.tool_results(transcript.decode(lines))
+        runs.run_available(spark, results.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint))
+    return spark.read.parquet(out)
 
 
 _TAKEN = f"""{_ADAPTER}, rq AS (SELECT *, k % 3 = 0 AS exported FROM api WHERE NOT is_error),
@@ -266,7 +305,10 @@ one AS (
   FROM rq GROUP BY 1, 2, 3, 4, 5)"""
 _add("cross_source_dedup", lambda t: _collected(t).api_requests.groupBy("session_id", "model", "cost_source").agg(F.count(F.lit(1)).alias("requests"), F.round(F.sum("cost_usd"), 9).alias("cost_usd")), f"""{_TAKEN}
 SELECT session_id, model, CASE WHEN exported THEN 'otlp' ELSE 'jsonl-estimate' END AS cost_source, CAST(count(*) AS BIGINT) AS requests, round(sum(CAST(CASE WHEN exported THEN told ELSE estimate END AS DOUBLE)), 9) AS cost_usd FROM one GROUP BY 1, 2, 3""")
-_add("transcript_tools", lambda t: _collected(t).tool_results.groupBy("session_id", "tool_name", "success").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("bash_command").alias("commands")), f"""{_ADAPTER} SELECT session_id, 'Bash' AS tool_name, k % 4 <> 0 AS success, CAST(count(*) AS BIGINT) AS results, CAST(count(DISTINCT k) AS BIGINT) AS commands FROM api WHERE NOT is_error AND k % 2 = 0 GROUP BY 1, 2, 3""")
+_TOOLS_SQL = f"""{_ADAPTER} SELECT session_id, 'Bash' AS tool_name, k % 4 <> 0 AS success, CAST(count(*) AS BIGINT) AS results, CAST(count(DISTINCT k) AS BIGINT) AS commands FROM api WHERE NOT is_error AND k % 2 = 0 GROUP BY 1, 2, 3"""
+_tools_by_session = lambda results: results.groupBy("session_id", "tool_name", "success").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("bash_command").alias("commands"))
+_add("transcript_tools", lambda t: _tools_by_session(_collected(t).tool_results), _TOOLS_SQL)
+_add("stream_transcript_tools", lambda t: _tools_by_session(_followed_tools(t)), _TOOLS_SQL)
 _add("transcript_prompts", lambda t: timeline.prompt_fields(_collected(t).events).select("session_id", "ts_ms", "prompt_length", "prompt"), f"{_ADAPTER} SELECT session_id, ts_ms + 2 AS ts_ms, CAST(strlen('[draft] say ' || k) AS BIGINT) AS prompt_length, '[draft] say ' || k AS prompt FROM api WHERE NOT is_error AND k % 5 = 0")
 _add("collected_sessions", lambda t: _collected(t).sessions.select("id", "first_seen", "last_seen", "app_version", F.coalesce("has_events", F.lit(False)).alias("has_events")), f"""{_ADAPTER}
 SELECT session_id AS id, min(ts_ms) AS first_seen, max(ts_ms + CASE WHEN k % 5 = 0 THEN 2 WHEN k % 2 = 0 THEN 1 ELSE 0 END) AS last_seen, CASE WHEN bool_or(k % 3 = 0) THEN '9' ELSE '' END AS app_version, bool_or(k % 3 = 0) AS has_events FROM api WHERE NOT is_error GROUP BY 1""")

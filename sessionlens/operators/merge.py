@@ -31,10 +31,11 @@ def _latest(column: str, seq: str) -> Column:
     return F.coalesce(F.max_by(column, F.when(F.col(column) != "", F.col(seq))), F.lit(""))
 
 
-def merge_sessions(rows: DataFrame, seq: str = "arrival_seq") -> DataFrame:
-    """One row an id: earliest and latest sight, last non-empty texts, sticky has_events."""
+def merge_sessions(rows: DataFrame, seq: str = "arrival_seq", keep_seq: bool = False) -> DataFrame:
+    """One row an id: earliest and latest sight, last non-empty texts, sticky has_events; with the latest arrival if it is to be merged again."""
     texts = [c for c in ("app_version", "model_set", "user_email", "org_id", "token_source", "repo", "git_branch") if c in rows.columns]
     more = [F.max("has_events").alias("has_events")] if "has_events" in rows.columns else []
+    more += [F.max(seq).alias(seq)] if keep_seq else []
     return rows.groupBy("id").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *(_latest(c, seq).alias(c) for c in texts), *more)
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..operators import delta, merge
 from . import otlp, transcript
 
@@ -48,10 +49,11 @@ def _either(one: DataFrame | None, two: DataFrame | None, columns: str) -> DataF
 def collect(lines: DataFrame | None = None, metrics: DataFrame | None = None, logs: DataFrame | None = None, traces: DataFrame | None = None, store_prompts: bool = True) -> Collected:
     """Tables of transcript lines (file, pos, value) and of OTLP export documents (as otlp.read() gives them); at least one of lines and logs.
 
+    Each line and document is parsed once, into rows of the shared folder by what they are; the tables are lazy, and each reads only its kinds.
     Equal dedup keys are one row: requests by cost authority, all others by their first arrival. Every session that a child names has a row.
     """
-    decoded = None if lines is None else transcript.decode(lines)
-    records = None if logs is None else otlp.log_records(logs)
+    decoded = None if lines is None else shared.by_kind(transcript.decode(lines), "transcripts")
+    records = None if logs is None else shared.by_kind(otlp.log_records(logs), "logs")
     spark: SparkSession = (lines if lines is not None else logs).sparkSession
     of = lambda source, make, rank, *more: None if source is None else _arrived(make(source, *more), rank)
     requests = _either(
@@ -67,7 +69,7 @@ def collect(lines: DataFrame | None = None, metrics: DataFrame | None = None, lo
     if decisions is None:
         decisions = spark.createDataFrame([], "dedup_key string, session_id string, ts_ms bigint, tool_name string, decision string, source string, attrs_json string, arrival_seq int")
     first = lambda rows: _named(merge.insert_ignore(rows, ["dedup_key"]))
-    accepted = None if metrics is None else otlp.metric_points(metrics)[0]
+    accepted = None if metrics is None else shared.by_kind(otlp.metric_rows(metrics), "metrics").where("kind = 'accepted'")
     points = _deltas(accepted) if accepted is not None else spark.createDataFrame([], "id bigint, session_id string, ts_ms bigint, name string, attr_key string, value_delta double, series_key string")
     requests = _named(merge.cost_authority(requests))
     tables = {"tool_decisions": first(decisions), "tool_results": first(results), "events": first(events)}

@@ -51,37 +51,45 @@ def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def metric_points(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Accepted points, and rejected ones with a reason."""
+def metric_rows(exports: DataFrame) -> DataFrame:
+    """Every point with its kind, 'accepted' or 'rejected', and why it was rejected. A metric of a shape without such points is one rejected row."""
     m = exports.select(F.explode("resourceMetrics").alias("rm")).select("rm.resource", F.explode("rm.scopeMetrics").alias("sm")).select("resource", F.explode("sm.metrics").alias("m"))
-    is_sum = F.col("m.sum").isNotNull()
-    points = m.where(is_sum | F.col("m.gauge").isNotNull()).select("resource", "m", F.explode(F.coalesce("m.sum.dataPoints", "m.gauge.dataPoints")).alias("p"))
+    is_sum, known = F.col("m.sum").isNotNull(), F.col("m.sum").isNotNull() | F.col("m.gauge").isNotNull()
+    none = F.array(F.lit(None).cast(_POINT))
+    points = m.select("resource", "m", F.explode(F.when(known, F.coalesce("m.sum.dataPoints", "m.gauge.dataPoints")).otherwise(none)).alias("p"))
     value = F.coalesce(F.col("p.asDouble"), F.col("p.asInt").try_cast("double"))
     rows = points.select(
         F.col("m.name").alias("name"), F.when(is_sum, 0).otherwise(1).alias("value_kind"), F.when(is_sum, F.coalesce("m.sum.aggregationTemporality", F.lit(0))).otherwise(0).alias("temporality"),
         value.alias("value"), F.coalesce(F.col("p.startTimeUnixNano").try_cast("bigint"), F.lit(0)).alias("start_ns"), F.coalesce(F.col("p.timeUnixNano").try_cast("bigint"), F.lit(0)).alias("time_ns"),
-        _as_map(F.col("p.attributes")).alias("attrs"), _as_map(F.col("resource.attributes")).alias("res"),
+        _as_map(F.col("p.attributes")).alias("attrs"), _as_map(F.col("resource.attributes")).alias("res"), known.alias("known"),
     )
     rows = rows.withColumn("session_id", _session("attrs", "res"))
     dims = F.map_filter(F.map_concat(F.col("attrs"), F.when(F.map_contains_key("attrs", "session.id"), F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("session.id"), F.col("session_id")))), lambda k, v: k.isin(*DIMENSIONS) & (F.coalesce(v, F.lit("")) != ""))
     rows = rows.withColumn("series_key", keys.series_key(F.col("name"), dims)).withColumn("ts_ms", keys.ns_to_ms(F.col("time_ns"))).withColumn("attr_key", keys.first_text(*(F.try_element_at(F.col("attrs"), F.lit(k)) for k in ("type", "model", "language"))))
-    bad = F.when(F.col("value").isNull(), "no value").when(F.isnan("value") | (F.abs("value") == F.lit(float("inf"))), "not finite")
+    bad = F.when(~F.col("known"), "unsupported shape").when(F.col("value").isNull(), "no value").when(F.isnan("value") | (F.abs("value") == F.lit(float("inf"))), "not finite")
     rows = rows.withColumn("reason", bad).withColumn("about", _about()).withColumn("attrs_json", bounded_json(F.col("attrs")))
-    shapes = m.where(~is_sum & F.col("m.gauge").isNull()).select(F.col("m.name").alias("name"), F.lit("unsupported shape").alias("reason"))
-    return rows.where("reason is null").drop("res", "reason"), rows.where("reason is not null").select("name", "reason").unionByName(shapes)
+    return rows.withColumn("kind", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")).drop("res", "known")
+
+
+def metric_points(exports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted points, and rejected ones with a reason."""
+    rows = metric_rows(exports)
+    return rows.where("kind = 'accepted'").drop("reason", "kind"), rows.where("kind = 'rejected'").select("name", "reason")
 
 
 def log_records(exports: DataFrame) -> DataFrame:
-    """session_id, ts_ms, raw_ns, name, attrs, body, about of each record; ts_ms is the event time, else the observed one, raw_ns the event time as it came."""
+    """session_id, ts_ms, raw_ns, name, attrs, body, about, kind of each record; ts_ms is the event time, else the observed one, raw_ns the event time as it came; kind is the table that it goes to."""
     r = exports.select(F.explode("resourceLogs").alias("rl")).select("rl.resource", F.explode("rl.scopeLogs").alias("sl")).select("resource", F.explode("sl.logRecords").alias("r"))
     r = r.select("r", _as_map(F.col("r.attributes")).alias("attrs"), _as_map(F.col("resource.attributes")).alias("res"))
     number = lambda c: F.coalesce(F.col(c).try_cast("bigint"), F.lit(0))
     ns = F.when(number("r.timeUnixNano") > 0, number("r.timeUnixNano")).otherwise(number("r.observedTimeUnixNano"))
-    return r.select(_session("attrs", "res").alias("session_id"), keys.ns_to_ms(ns).alias("ts_ms"), number("r.timeUnixNano").alias("raw_ns"), keys.event_name(F.col("r.eventName"), F.try_element_at(F.col("attrs"), F.lit("event.name"))).alias("name"), "attrs", F.coalesce("r.body.stringValue", F.lit("")).alias("body"), _about().alias("about"))
+    rows = r.select(_session("attrs", "res").alias("session_id"), keys.ns_to_ms(ns).alias("ts_ms"), number("r.timeUnixNano").alias("raw_ns"), keys.event_name(F.col("r.eventName"), F.try_element_at(F.col("attrs"), F.lit("event.name"))).alias("name"), "attrs", F.coalesce("r.body.stringValue", F.lit("")).alias("body"), _about().alias("about"))
+    kind = F.when(F.col("name").isin("api_request", "api_error"), "request").when(F.col("name").isin("tool_decision", "tool_result"), F.substring_index("name", "_", -1)).otherwise("event")
+    return rows.withColumn("kind", kind)
 
 
 def api_requests(records: DataFrame, store_prompts: bool = True) -> DataFrame:
-    rows = records.where("name in ('api_request', 'api_error')")
+    rows = records.where("kind = 'request'")
     number = lambda name, *more: keys.to_long(_get(name, *more))
     rows = rows.select(
         "session_id", "ts_ms", "name", _get("model").alias("model"), number("input_tokens").alias("input_tokens"), number("output_tokens").alias("output_tokens"), number("cache_read_tokens", "cache_read").alias("cache_read"), number("cache_creation_tokens", "cache_creation").alias("cache_creation"),
@@ -92,14 +100,14 @@ def api_requests(records: DataFrame, store_prompts: bool = True) -> DataFrame:
 
 
 def tool_decisions(records: DataFrame, store_prompts: bool = True) -> DataFrame:
-    rows = records.where("name = 'tool_decision'").select("session_id", "ts_ms", _get("tool_name", "tool").alias("tool_name"), _get("decision").alias("decision"), _get("source").alias("source"), _stored(store_prompts).alias("attrs_json"))
+    rows = records.where("kind = 'decision'").select("session_id", "ts_ms", _get("tool_name", "tool").alias("tool_name"), _get("decision").alias("decision"), _get("source").alias("source"), _stored(store_prompts).alias("attrs_json"))
     return rows.withColumn("dedup_key", keys.tool_decision_key(F.col("session_id"), keys.ms_to_ns_text(F.col("ts_ms")), F.col("tool_name"), F.col("decision"), F.col("source")))
 
 
 def tool_results(records: DataFrame, store_prompts: bool = True) -> DataFrame:
     nested = lambda *names: keys.first_text(*(F.get_json_object(_get("tool_parameters"), f"$.{n}") for n in names))
     bash = keys.first_text(nested("bash_command", "command"), nested("full_command"))
-    rows = records.where("name = 'tool_result'").select(
+    rows = records.where("kind = 'result'").select(
         "session_id", "ts_ms", _get("tool_name", "tool").alias("tool_name"), keys.to_bool(_get("success")).alias("success"), keys.to_long(_get("duration_ms", "duration")).alias("duration_ms"),
         (bash if store_prompts else F.when(bash != "", F.lit(keys.MASK)).otherwise("")).alias("bash_command"), nested("mcp_server", "server_name", "server").alias("mcp_server"), _stored(store_prompts).alias("attrs_json"),
     )
@@ -107,7 +115,7 @@ def tool_results(records: DataFrame, store_prompts: bool = True) -> DataFrame:
 
 
 def generic_events(records: DataFrame, store_prompts: bool = True) -> DataFrame:
-    rows = records.where("name not in ('api_request', 'api_error', 'tool_decision', 'tool_result')")
+    rows = records.where("kind = 'event'")
     return rows.select("session_id", "ts_ms", "name", _stored(store_prompts).alias("attrs_json"), keys.event_key(F.col("session_id"), F.col("name"), F.col("raw_ns"), F.col("body")).alias("dedup_key"))
 
 

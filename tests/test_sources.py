@@ -2,10 +2,11 @@
 
 import hashlib
 import json
+import random
 
 from sessionlens.plans import cost, sessions
-from sessionlens.sources import collect, otlp, transcript
-from sessionlens.sources.append_jsonl import AppendJsonl, _Reader
+from sessionlens.sources import append_jsonl, collect, otlp, transcript
+from sessionlens.sources.append_jsonl import _Reader, _StreamReader
 
 
 def line(**more):
@@ -133,30 +134,79 @@ def test_folders_to_plans(spark, tmp_path):
     assert alone.api_requests.first()["cost_source"] == "jsonl-estimate" and sessions.session_list(alone).count() == 1
 
 
-def test_append_reader(tmp_path):
-    reader = _Reader(str(tmp_path), 1 << 20)
+def test_ranges_own_whole_lines(tmp_path):
+    """However a file is cut, its lines come once each, in order, with their offsets."""
+    rng = random.Random(4)
+    lines = [rng.choice(["", "x", "é" * rng.randrange(9), "y" * rng.randrange(40)]) for _ in range(60)]
+    for unfinished in ("", "tail"):
+        data = "".join(x + "\n" for x in lines).encode() + unfinished.encode()
+        (tmp_path / "a.JSONL").write_bytes(data)
+        want, at = [], 0
+        for x in lines + [unfinished] * bool(unfinished):
+            want.append((at, x))
+            at += len(x.encode()) + 1
+        for most in (1, 3, 7, 64, 10**6):
+            reader = _Reader(str(tmp_path), most)
+            got = [(o, v) for part in reader.partitions() for batch in reader.read(part) for o, v in zip(batch["offset"].to_pylist(), batch["value"].to_pylist(), strict=True)]
+            assert got == want
+
+
+def test_one_file_is_many_tasks(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text("".join(f'{{"uuid": "{k}"}}\n' for k in range(500)))
+    rows = transcript.read_lines(spark, str(tmp_path), range_bytes=1000)
+    assert rows.rdd.getNumPartitions() >= 7
+    assert [json.loads(r["value"])["uuid"] for r in rows.orderBy("pos").collect()] == [str(k) for k in range(500)]
+    whole = transcript.read_lines(spark, str(tmp_path))
+    assert {tuple(r) for r in rows.collect()} == {tuple(r) for r in whole.collect()}
+
+
+def streamed(folder, starts, **options):
+    """What a reader plans and reads, trigger by trigger; starts: what happens to the files before each."""
+    reader, start, out = _StreamReader(str(folder), options.get("most", 4), options.get("trigger", 0), options.get("progress")), {}, []
+    start = reader.initialOffset()
+    for change in starts:
+        change()
+        end = reader.latestOffset()
+        parts = reader.partitions(start, end)
+        out.append([v for part in parts for batch in reader.read(part) for v in batch["value"].to_pylist()])
+        start = end
+    return out
+
+
+def test_growing_files(tmp_path):
     path = tmp_path / "a.jsonl"
-    path.write_text("1\n2\npart")
-    rows, offset = reader.read({})
-    assert [r[2] for r in rows] == ["1", "2"]
-    with path.open("a") as f:
-        f.write("ial\n3\n")
-    rows, after = reader.read(offset)
-    assert [r[2] for r in rows] == ["partial", "3"] and [r[2] for r in reader.readBetweenOffsets(offset, after)] == ["partial", "3"]
-    path.write_text("x\n")
-    assert [r[2] for r in reader.read(after)[0]] == ["x"]
+    add = lambda text: lambda: path.open("a").write(text)
+    got = streamed(tmp_path, [lambda: None, add("1\n2\npart"), lambda: None, add("ial\n3\n"), lambda: path.write_text("x\n"), add("yy\n"), path.unlink])
+    assert got == [[], ["1", "2"], [], ["partial", "3"], ["x"], ["yy"], []]
+
+
+def test_bytes_a_trigger(tmp_path):
+    for name, n in (("a", 40), ("b", 4), ("c", 12)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f"{name}{k:02}\n" for k in range(n)))
+    seen = streamed(tmp_path, [lambda: None] * 8, trigger=32)
+    assert [v for part in seen for v in part if v[0] == "a"] == [f"a{k:02}" for k in range(40)]
+    assert sum(map(len, seen)) == 56 and all(sum(len(v) + 1 for v in part) <= 32 + 3 * 4 for part in seen)
 
 
 def test_append_stream(spark, tmp_path):
-    folder, out = tmp_path / "in", str(tmp_path / "out")
+    """Starts on one checkpoint: nothing twice, nothing lost; a bound on bytes holds from the first trigger after a restart."""
+    folder, out, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ck")
     folder.mkdir()
-    spark.dataSource.register(AppendJsonl)
     (folder / "a.jsonl").write_text("1\n2\n3")
-    for more, want in (("", ["1", "2"]), ("4\n", ["1", "2", "34"])):
+    for more, want in (("", ["1", "2"]), ("4\n", ["1", "2", "34"]), ("5\n6\n7\n", ["1", "2", "34", "5", "6"]), ("", ["1", "2", "34", "5", "6", "7"])):
         with (folder / "a.jsonl").open("a") as f:
             f.write(more)
-        stream = spark.readStream.format("append_jsonl").option("path", str(folder)).load()
-        query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).start(out)
-        query.processAllAvailable()
-        query.stop()
-        assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == want
+        stream = append_jsonl.follow(spark, str(folder), checkpoint, 5, 2)
+        query = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+        query.awaitTermination()
+        assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == sorted(want)
+
+
+def test_each_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text(assistant([{"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "ls"}}]) + "\n")
+    decoded = transcript.decode(transcript.read_lines(spark, str(tmp_path)))
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 2 and plan.count("RelationV2") == 1  # the line, and its content
+    t = collect.from_folders(spark, str(tmp_path))
+    plan = t.sessions._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan and "parse_json" not in plan

@@ -1,9 +1,64 @@
 """Streaming equals batch; the live view; idempotent batches."""
 
+import json
+import random
+import time
+
+import pytest
+
 from sessionlens.operators import delta, merge
+from sessionlens.sources import append_jsonl, transcript
+from sessionlens.streaming import live, pair_stream, runs
 from sessionlens.streaming.delta_stream import normalize_stream
-from sessionlens.streaming.now import Live
-from sessionlens.streaming.sink import SnapshotTable
+
+
+
+def call(kind, call_id, n):
+    """A transcript line with a tool use or a tool result."""
+    if kind == "use":
+        content, role = {"type": "tool_use", "id": call_id, "name": "Bash", "input": {"command": f"run {n}"}}, "assistant"
+    else:
+        content, role = {"type": "tool_result", "tool_use_id": call_id, "is_error": n % 3 == 0}, "user"
+    return json.dumps({"type": role, "uuid": f"u{n}", "sessionId": "s", "timestamp": f"2026-01-01T00:00:01.{n % 1000:03}Z", "message": {"role": role, "content": [content]}}) + "\n"
+
+
+def follow(spark, tmp_path, patience_ms=3_600_000):
+    """One start on the same checkpoint, with all that has been written until now."""
+    lines = append_jsonl.follow(spark, str(tmp_path / "in"), str(tmp_path / "ck"), 0, 300).withColumnRenamed("offset", "pos")
+    results = pair_stream.tool_results(transcript.decode(lines), patience_ms=patience_ms)
+    runs.run_available(spark, results.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
+    return spark.read.parquet(str(tmp_path / "out"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pairing_with_random_cuts_equals_batch(spark, tmp_path, seed):
+    """Files grow by any number of bytes between starts; ids are used again, results come twice, alone, or without an id."""
+    rng = random.Random(seed)
+    (tmp_path / "in").mkdir()
+    texts = {f"{name}.jsonl": "".join(call(rng.choice(["use", "use", "result"]), rng.choice(["a", "b", "c", "d", ""]), n) for n in range(30)).encode() for name in "xy"}
+    cuts = {name: sorted(rng.randrange(len(text)) for _ in range(3)) for name, text in texts.items()}
+    for step in range(4):
+        for name, text in texts.items():
+            (tmp_path / "in" / name).write_bytes(text[: [*cuts[name], len(text)][step]])
+        got = follow(spark, tmp_path)
+    want = transcript.tool_results(transcript.decode(transcript.read_lines(spark, str(tmp_path / "in"))))
+    assert got.count() > 10 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(got.columns).collect()))
+
+
+def test_a_use_without_result_is_given_up(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    path = tmp_path / "in" / "a.jsonl"
+    path.write_text(call("use", "late", 1) + call("use", "soon", 2))
+    follow(spark, tmp_path, patience_ms=1)
+    time.sleep(0.2)
+    with path.open("a") as f:
+        f.write(call("result", "other", 3))
+    follow(spark, tmp_path, patience_ms=1)  # timers fire in this batch
+    with path.open("a") as f:
+        f.write(call("result", "late", 4))
+    got = {r["tool_use_id"]: r["tool_name"] for r in follow(spark, tmp_path, patience_ms=1).collect()}
+    assert got == {"other": "", "late": ""}
+
 
 SCHEMA = "series string, arrival int, time_ms bigint, start_ms bigint, value double, temporality int"
 
@@ -20,47 +75,61 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
-def row(kind, seq, session="s", key=None, cost=0.0, source="", **more):
-    return {"kind": kind, "session_id": session, "arrival_seq": seq, "dedup_key": key or f"k{seq}", "ts_ms": seq * 1000, "cost_usd": cost, "tokens": 10, "cost_source": source, "tool_name": more.get("tool", ""), "value": more.get("value", 0.0)}
-
-
-def test_live_view():
-    live = Live()
-    assert len(live.feed([row("api", 1, key="k", cost=0.2, source="jsonl-estimate")])) == 1
-    assert live.feed([row("api", 2, key="k", cost=0.5, source="otlp")]) == []
-    live.feed([row("api", 3, key="k", cost=0.9, source="otlp"), row("metric", 4, value=3.0), row("decision", 5, tool="Bash")])
-    assert live.snapshot() == {"session_id": "s", "cost_usd": 0.5, "tokens": 10, "active_sec": 3.0, "last_tool": "Bash"}
-    assert live.burn(5000)[0] > 0 and live.burn(60_000) == (0.0, 0.0)
-    live.feed([row("api", 6, session="t", cost=1.0)])
-    assert live.snapshot()["session_id"] == "t" and live.snapshot()["cost_usd"] == 1.0
-    live.feed([row("event", 100 + n, session="t") for n in range(300)])
-    taken = live.take()
-    assert taken[0]["kind"] == "drop" and len(taken) == 257
-
-
-def test_snapshot_table_is_idempotent(spark, tmp_path):
-    table = SnapshotTable(spark, f"file://{tmp_path}/t", lambda df: merge.insert_ignore(df, ["k"], "seq"))
-    batch = spark.createDataFrame([("a", 1), ("b", 2)], "k string, seq int")
-    table.write_batch(batch, 0)
-    table.write_batch(batch, 0)
-    table.write_batch(spark.createDataFrame([("a", 3), ("c", 4)], "k string, seq int"), 1)
-    assert sorted(map(tuple, table.read().collect())) == [("a", 1), ("b", 2), ("c", 4)]
-
-
-def test_only_touched_buckets_are_written_and_a_crash_loses_nothing(spark, tmp_path):
-    make = lambda: SnapshotTable(spark, f"file://{tmp_path}/t", lambda df: merge.insert_ignore(df, ["k"], "seq"), key=["k"], buckets=8)
-    rows = lambda *r: spark.createDataFrame(list(r), "k string, seq int")
-    table = make()
-    table.write_batch(rows(*((f"k{n}", n) for n in range(40))), 0)
-    for batch in range(1, 5):
-        table.write_batch(rows(("k3", 100 + batch), (f"new{batch}", batch)), batch)
-        assert 1 <= len(list((tmp_path / "t" / f"batch={batch}").glob("bucket=*"))) <= 2
-    # a batch that was written and not committed, and a commit that was begun
-    table.spark.createDataFrame([("k1", -1)], "k string, seq int").write.parquet(f"file://{tmp_path}/t/batch=5/bucket=0")
-    (tmp_path / "t" / "commits" / ".5.tmp").write_text("{")
-    again = make()
-    want = {f"k{n}": n for n in range(40)} | {f"new{b}": b for b in range(1, 5)}
-    assert {r["k"]: r["seq"] for r in again.read().collect()} == want
-    again.write_batch(rows(("last", 9)), 5)
-    assert {r["k"]: r["seq"] for r in make().read().collect()} == want | {"last": 9}
-    assert len(list((tmp_path / "t" / "commits").glob("[0-9]*.json"))) == 2
+class Live:
+    """What the live view has to show, row by row: fed with one viewer's batches."""
+
+    def __init__(self):
+        self.session, self.costs, self.seen, self.active, self.tool, self.samples = "", {}, set(), 0.0, "", []
+
+    def feed(self, rows):
+        rows = sorted(rows, key=lambda r: r["arrival_seq"])
+        current = next([r for r in rows if r["kind"] == k][-1]["session_id"] for k in live.PRIORITY if any(r["kind"] == k for r in rows))
+        if current != self.session:
+            self.__init__()
+            self.session = current
+        events = []
+        for r in rows:
+            if r["session_id"] != self.session:
+                continue
+            if r["kind"] == "api":
+                held = self.costs.get(r["dedup_key"])
+                if held is None or r["cost_source"] == "otlp" != held[2]:
+                    self.costs[r["dedup_key"]] = (r["cost_usd"], r["tokens"], r["cost_source"])
+            self.active += r["value"] if r["kind"] == "metric" else 0
+            self.tool = r["tool_name"] if r["kind"] in ("result", "decision") else self.tool
+            if r["kind"] not in ("metric", "session") and r["dedup_key"] not in self.seen:
+                self.seen.add(r["dedup_key"])
+                events.append(r["dedup_key"])
+        now = max(r["ts_ms"] for r in rows)
+        cost, tokens = (sum(c[k] for c in self.costs.values()) for k in (0, 1))
+        self.samples = [x for x in self.samples if x[0] >= now - live.WINDOW_MS] + [(now, cost, tokens)]
+        minutes = (now - self.samples[0][0]) / 60_000
+        burn = tuple(round(max(0.0, (self.samples[-1][k] - self.samples[0][k]) / minutes), 6) if minutes > 0 else 0.0 for k in (1, 2))
+        return sorted(events), (self.session, now, round(cost, 6), tokens, round(self.active, 6), self.tool, *burn)
+
+
+LIVE = "who string, kind string, session_id string, arrival_seq bigint, dedup_key string, ts_ms bigint, cost_usd double, tokens bigint, cost_source string, tool_name string, value double"
+
+
+def live_rows(rng, begin, n):
+    kinds = [rng.choice(live.PRIORITY) for _ in range(n)]
+    return [{"who": rng.choice("vw"), "kind": k, "session_id": rng.choice("sst"), "arrival_seq": begin + i, "dedup_key": f"k{rng.randrange(12)}", "ts_ms": (begin + i) * 1000, "cost_usd": rng.choice([0.25, 0.5, 1.0]), "tokens": rng.randrange(9), "cost_source": rng.choice(["otlp", "jsonl-estimate"]), "tool_name": rng.choice(["Bash", "Edit"]), "value": 0.5} for i, k in enumerate(kinds)]
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_live_view_equals_the_fold_over_restarts(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    folds, got = {w: Live() for w in "vw"}, []
+    for batch in range(5):
+        rows = live_rows(rng, batch * 20, 14)
+        spark.createDataFrame([tuple(r.values()) for r in rows], LIVE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(LIVE).parquet(str(tmp_path / "in"))
+        got.clear()
+        runs.run_available(spark, live.live_view(stream).writeStream.outputMode("update").foreachBatch(lambda df, _: got.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")))
+        for who, fold in folds.items():
+            own = [r for r in rows if r["who"] == who]
+            if own:
+                events, tick = fold.feed(own)
+                assert sorted(r["dedup_key"] for r in got if r["who"] == who and r["kind"] != "tick") == events
+                seen = next(r for r in got if r["who"] == who and r["kind"] == "tick")
+                assert (seen["session_id"], seen["ts_ms"], round(seen["cost_usd"], 6), seen["tokens"], round(seen["active_sec"], 6), seen["last_tool"], round(seen["usd_per_min"], 6), round(seen["tok_per_min"], 6)) == tick
