@@ -26,7 +26,7 @@ COSINE, RECALL = 0.9, 0.995
 #: Cells that a vector is posted under in each table: its own and the nearest neighbours.
 CELLS = 4
 #: Members of a cell that are compared in one piece at least.
-GROUP = 2048
+GROUP = 512
 #: Centres of balls at most, and members of a cell that its centre is the mean of, about.
 BALLS, SAMPLE = 256, 256
 #: Blocks of eight projections and their scale, from coarse to fine, and unrelated vectors that one meets in all tables at most, about.
