@@ -97,9 +97,9 @@ MASK = "[redacted]"
 SENSITIVE = ("prompt", "prompt_text", "user_prompt", "content", "message", "tool_parameters", "command", "full_command", "bash_command")
 
 
-def redacted(attributes: Column) -> Column:
+def redacted(attributes: Column, mask: str = MASK) -> Column:
     """A string map with the values of sensitive keys masked."""
-    return F.transform_values(attributes, lambda k, v: F.when(k.isin(*SENSITIVE), F.lit(MASK)).otherwise(v))
+    return F.transform_values(attributes, lambda k, v: F.when(k.isin(*SENSITIVE), F.lit(mask)).otherwise(v))
 
 
 def single_line(text: Column, limit: int = 80) -> Column:

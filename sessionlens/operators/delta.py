@@ -54,3 +54,9 @@ def normalize_mixed(points: DataFrame, seq: str = "arrival") -> DataFrame:
         return pd.DataFrame(rows, columns=schema.names)
 
     return whole.unionByName(cumulative).unionByName(mixed.groupBy("series").applyInPandas(fold, schema))
+
+
+def cursors(points: DataFrame, seq: str = "arrival") -> DataFrame:
+    """series, value, start_ms, time_ms of the last point that each series accepted: where a stream that follows goes on."""
+    accepted = normalize_mixed(points, seq)
+    return accepted.groupBy("series").agg(F.max_by(F.struct("value", "start_ms", "time_ms"), F.col(seq)).alias("_last")).select("series", "_last.*")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,3 +61,22 @@ def latest_tools(t: Telemetry) -> DataFrame:
 
 def active_time(t: Telemetry) -> DataFrame:
     return t.metric_points.where(F.col("name").isin(*axis.ACTIVE)).groupBy("session_id").agg(F.round(F.sum("value_delta"), 6).alias("active_sec"))
+
+
+class NotFound(LookupError):
+    """A session that isn't there; str() is the body that a front end answers with."""
+
+    def __init__(self, what: str = "session"):
+        super().__init__(json.dumps({"error": {"code": "not_found", "message": f"{what} not found"}}))
+
+
+def known_sessions(t: Telemetry, asked: DataFrame) -> DataFrame:
+    """id and found of each asked id."""
+    there = t.sessions.select("id").distinct().withColumn("found", F.lit(True))
+    return asked.select("id").join(there, "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def require(t: Telemetry, session_id: str) -> None:
+    """Raise NotFound unless the session is there; reads until its first row."""
+    if t.sessions.where(F.col("id") == session_id).limit(1).isEmpty():
+        raise NotFound

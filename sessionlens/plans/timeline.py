@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.adapter import Telemetry
 
+#: Attributes that hold an error's text, and those that a log line shows.
+ERROR_KEYS = ("error", "error_message", "message")
+TAIL_KEYS = ("prompt_length", "model", "cost_usd", "tool_name", "decision", "source", "success", "server_name", "duration_ms")
+
 
 def prompt_fields(events: DataFrame) -> DataFrame:
     """events with prompt_length, if a JSON number, and prompt, if a non-empty JSON string."""
@@ -17,6 +21,24 @@ def prompt_fields(events: DataFrame) -> DataFrame:
     return events.withColumn("prompt_length", length).withColumn("prompt", F.nullif(F.try_variant_get(value, "$.prompt", "string"), F.lit("")))
 
 
+def error_texts(rows: DataFrame) -> DataFrame:
+    """rows with `error`: the first of these that attrs_json has as a text that isn't empty."""
+    value = F.try_parse_json("attrs_json")
+
+    def text(name: str) -> Column:
+        found = F.try_variant_get(value, f"$.{name}", "variant")
+        return F.when(F.schema_of_variant(found) == "STRING", F.nullif(F.try_variant_get(value, f"$.{name}", "string"), F.lit("")))
+
+    return rows.withColumn("error", F.coalesce(*map(text, ERROR_KEYS)))
+
+
+def tail_fields(attrs_json: Column) -> Column:
+    """What a log line shows of an event's attributes, as JSON; `{}` if there are none or they aren't JSON."""
+    value = F.try_parse_json(attrs_json)
+    field = lambda name: F.concat(F.lit(f'"{name}":'), F.to_json(F.try_variant_get(value, f"$.{name}", "variant")))
+    return F.concat(F.lit("{"), F.concat_ws(",", *map(field, TAIL_KEYS)), F.lit("}"))
+
+
 def timeline(t: Telemetry) -> DataFrame:
     """Prompts, requests, decisions and results of every session on one axis; order by ts_ms, seq, id."""
     prompts = prompt_fields(t.events.where("name = 'user_prompt'")).select("session_id", "ts_ms", "id", F.lit(0).alias("seq"), F.lit("prompt").alias("kind"), F.coalesce("prompt", F.lit("")).alias("label"), F.coalesce("prompt_length", F.lit(0)).alias("amount"))

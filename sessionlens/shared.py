@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
@@ -26,8 +26,9 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{folder(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def by_kind(rows: DataFrame, what: str) -> DataFrame:
-    """rows, written once in folders by their column `kind`; a reader of one kind reads that folder alone."""
+def by_kind(rows: DataFrame, what: str, counters: dict[str, Column]) -> tuple[DataFrame, dict[tuple[str, str], int]]:
+    """rows, written once in folders by their column `kind` (a reader of one kind reads that folder alone), and what the counters count on the way."""
     path = new_folder(rows.sparkSession, what)
-    rows.write.partitionBy("kind").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    seen = Observation(what)
+    rows.observe(seen, *(c.cast("long").alias(n) for n, c in counters.items())).write.partitionBy("kind").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), {(what, n): v or 0 for n, v in seen.get.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import shared
 from ..operators import delta, merge
 from . import otlp, transcript
+from .counters import of_logs, of_metrics, of_transcripts
 
 
 @dataclass
@@ -23,6 +24,7 @@ class Collected:
     events: DataFrame
     spans: DataFrame
     sessions: DataFrame
+    counts: dict[tuple[str, str], int]
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -47,14 +49,23 @@ def _either(one: DataFrame | None, two: DataFrame | None, columns: str) -> DataF
 
 
 def collect(lines: DataFrame | None = None, metrics: DataFrame | None = None, logs: DataFrame | None = None, traces: DataFrame | None = None, store_prompts: bool = True) -> Collected:
-    """Tables of transcript lines (file, pos, value) and of OTLP export documents (as otlp.read() gives them); at least one of lines and logs.
+    """Tables of transcript lines (file, pos, value) and of OTLP export documents (as otlp.read() gives them); at least one of them.
 
     Each line and document is parsed once, into rows of the shared folder by what they are; the tables are lazy, and each reads only its kinds.
     Equal dedup keys are one row: requests by cost authority, all others by their first arrival. Every session that a child names has a row.
     """
-    decoded = None if lines is None else shared.by_kind(transcript.decode(lines), "transcripts")
-    records = None if logs is None else shared.by_kind(otlp.log_records(logs), "logs")
-    spark: SparkSession = (lines if lines is not None else logs).sparkSession
+    spark: SparkSession = next(x for x in (lines, logs, metrics, traces) if x is not None).sparkSession
+    if lines is None and logs is None:
+        logs = spark.createDataFrame([], otlp.LOGS)
+    counts: dict[tuple[str, str], int] = {}
+
+    def staged(rows: DataFrame, what: str, counters: dict) -> DataFrame:
+        table, seen = shared.by_kind(rows, what, counters)
+        counts.update(seen)
+        return table
+
+    decoded = None if lines is None else staged(transcript.decode(lines), "transcripts", of_transcripts())
+    records = None if logs is None else staged(otlp.log_records(logs), "logs", of_logs())
     of = lambda source, make, rank, *more: None if source is None else _arrived(make(source, *more), rank)
     requests = _either(
         of(decoded, transcript.api_requests, 0), of(records, otlp.api_requests, 1, store_prompts),
@@ -69,7 +80,7 @@ def collect(lines: DataFrame | None = None, metrics: DataFrame | None = None, lo
     if decisions is None:
         decisions = spark.createDataFrame([], "dedup_key string, session_id string, ts_ms bigint, tool_name string, decision string, source string, attrs_json string, arrival_seq int")
     first = lambda rows: _named(merge.insert_ignore(rows, ["dedup_key"]))
-    accepted = None if metrics is None else shared.by_kind(otlp.metric_rows(metrics), "metrics").where("kind = 'accepted'")
+    accepted = None if metrics is None else staged(otlp.metric_rows(metrics), "metrics", of_metrics()).where("kind = 'accepted'")
     points = _deltas(accepted) if accepted is not None else spark.createDataFrame([], "id bigint, session_id string, ts_ms bigint, name string, attr_key string, value_delta double, series_key string")
     requests = _named(merge.cost_authority(requests))
     tables = {"tool_decisions": first(decisions), "tool_results": first(results), "events": first(events)}
@@ -87,7 +98,7 @@ def collect(lines: DataFrame | None = None, metrics: DataFrame | None = None, lo
     sessions = merge.merge_sessions(rows).withColumn("first_seen", F.coalesce("first_seen", F.lit(0)))
     sessions = merge.with_missing_sessions(sessions, requests, points, *tables.values())
     spans = otlp.spans(traces, store_prompts) if traces is not None else spark.createDataFrame([], "session_id string, trace_id string, span_id string, parent_span_id string, name string, start_ts bigint, end_ts bigint, status string, attrs_json string")
-    return Collected(requests, points, spans=spans, sessions=sessions, **tables)
+    return Collected(requests, points, spans=spans, sessions=sessions, counts=counts, **tables)
 
 
 def _deltas(points: DataFrame) -> DataFrame:

@@ -37,11 +37,17 @@ class DeltaNormalizer(StatefulProcessor):
             self.cursor.update(last)
         yield pd.DataFrame(out, columns=["series", "time_ms", "value", "delta", "rule"])
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        row = initialState.iloc[0]
+        self.cursor.update((float(row["value"]), int(row["start_ms"]), int(row["time_ms"])))
+
     def close(self) -> None:
         pass
 
 
-def normalize_stream(points: DataFrame) -> DataFrame:
-    """points: series, arrival, time_ms, start_ms, value, temporality."""
+def normalize_stream(points: DataFrame, cursors: DataFrame | None = None) -> DataFrame:
+    """points: series, arrival, time_ms, start_ms, value, temporality. cursors (series, value, start_ms, time_ms): where a new stream takes up
+    series that a batch has read before it, so that they get no second baseline; a stream with a checkpoint goes on from that alone."""
     points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return points.groupBy("series").transformWithStateInPandas(DeltaNormalizer(), OUT, "append", "none")
+    seed = None if cursors is None else cursors.select("series", "value", "start_ms", "time_ms").groupBy("series")
+    return points.groupBy("series").transformWithStateInPandas(DeltaNormalizer(), OUT, "append", "none", seed)

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from sessionlens import catalogue
+from sessionlens import catalogue, source_catalogue
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,10 +28,13 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+QUERIES, SQL = catalogue.QUERIES | source_catalogue.QUERIES, catalogue.ORACLE_SQL | source_catalogue.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, SF).toPandas()
-    want = duck.sql(catalogue.ORACLE_SQL[name]).df()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.sql(SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = [sorted(tuple(map(plain, r)) for r in df[columns].itertuples(index=False)) for df in (got, want)]

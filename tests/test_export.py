@@ -1,8 +1,9 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from sessionlens.plans import export
+from sessionlens.plans import export, sessions
 from sessionlens.sources.adapter import Telemetry
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +21,13 @@ def test_documents_hold_all_fields(spark):
     assert all(set(d["session"]) == session and d["session"]["has_events"] == any(d[c] for c in export.CHILDREN) for d in documents.values())
     costs = t.api_requests.agg(F.sum("cost_usd")).first()[0]
     assert abs(sum(r["cost_usd"] for r in requests) - costs) < 1e-6
+
+
+def test_one_session_or_not_found(spark):
+    t = Telemetry.of(spark, SF)
+    name = t.sessions.orderBy("id").first()["id"]
+    want = export.export(t).where(F.col("id") == name).first()["document"]
+    assert json.loads(export.export_one(t, name)) == json.loads(want)
+    with pytest.raises(sessions.NotFound) as raised:
+        export.export_one(t, "nobody")
+    assert json.loads(str(raised.value)) == {"error": {"code": "not_found", "message": "session not found"}}

@@ -98,7 +98,7 @@ def test_second_names_masks_and_attributes(spark, tmp_path):
     (tmp_path / "l.json").write_text(json.dumps(export(*records)))
     r = otlp.log_records(otlp.read(spark, str(tmp_path / "l.json"), otlp.LOGS))
     call, result, decision = otlp.api_requests(r).first(), otlp.tool_results(r, False).first(), otlp.tool_decisions(r).first()
-    assert (call["cost_usd"], call["duration_ms"], call["status_code"]) == (0.25, 7, 200) and "stringValue" in json.loads(call["attrs_json"])["tags"]
+    assert (call["cost_usd"], call["duration_ms"], call["status_code"]) == (0.25, 7, 200) and json.loads(call["attrs_json"])["tags"] == ["a"]
     assert (result["tool_name"], result["duration_ms"], result["bash_command"], result["mcp_server"]) == ("Bash", 9, "[redacted]", "srv")
     assert "rm x" not in result["attrs_json"] and decision["tool_name"] == "Edit"
     assert otlp.tool_results(r).first()["bash_command"] == "rm x"
@@ -210,3 +210,41 @@ def test_each_line_is_parsed_once(spark, tmp_path):
     t = collect.from_folders(spark, str(tmp_path))
     plan = t.sessions._jdf.queryExecution().optimizedPlan().toString()
     assert "from_json" not in plan and "parse_json" not in plan
+
+
+def stored(spark, tmp_path, attributes):
+    """attrs_json of a generic event with these attributes."""
+    (tmp_path / "l.json").write_text(json.dumps(export({"timeUnixNano": "5", "eventName": "e", "attributes": attributes})))
+    return otlp.generic_events(otlp.log_records(otlp.read(spark, str(tmp_path / "l.json"), otlp.LOGS))).first()["attrs_json"]
+
+
+def wire(value):
+    """A plain value in the wire form."""
+    if isinstance(value, list):
+        return {"arrayValue": {"values": [wire(v) for v in value]}}
+    if isinstance(value, dict):
+        return {"kvlistValue": {"values": [{"key": k, "value": wire(v)} for k, v in value.items()]}}
+    kinds = {bool: "boolValue", int: "intValue", float: "doubleValue", str: "stringValue"}
+    return {} if value is None else {kinds[type(value)]: str(value) if type(value) is int else value}
+
+
+def test_nested_attributes(spark, tmp_path):
+    deep = [1]
+    for _ in range(9):
+        deep = [deep]
+    marked = f"{otlp.TRUNCATED}:depth_exceeded"
+    for _ in range(otlp.MOST_DEPTH):
+        marked = [marked]
+    plain = {"s": 'a "q" \\ \n é', "n": 7, "f": 0.5, "b": True, "none": None, "list": [1, "x", [], {"z": [None, 2], "a": {}}], "map": {"k": [False]}, "deep": deep}
+    rows = [{"key": k, "value": wire(v)} for k, v in plain.items()]
+    rows += [{"key": "", "value": wire(1)}, {"key": "n", "value": wire(8)}, {"key": "bytes", "value": {"bytesValue": "aGk="}}, {"key": "twice", "value": {"kvlistValue": {"values": [{"key": "k", "value": wire(1)}, {"key": "k", "value": wire([2])}, {"key": "", "value": wire(3)}]}}}]
+    assert json.loads(stored(spark, tmp_path, rows)) == plain | {"deep": marked, "n": 8, "bytes": "hi", "twice": {"k": [2]}}
+
+
+def test_bounds_of_attributes(spark, tmp_path):
+    many = json.loads(stored(spark, tmp_path, [{"key": f"k{n:03}", "value": wire(n)} for n in range(300)]))
+    assert many == {f"k{n:03}": n for n in range(256)} | {otlp.TRUNCATED: "attribute_count_exceeded"}
+    text = stored(spark, tmp_path, [{"key": k, "value": wire(v)} for k, v in (("a", "x" * 40_000), ("b", "y" * 40_000), ("c", 1))])
+    assert len(text) <= otlp.MOST_BYTES and json.loads(text) == {"a": "x" * 40_000, otlp.TRUNCATED: "byte_size_exceeded"}
+    assert stored(spark, tmp_path, []) == "{}"
+

@@ -5,9 +5,10 @@ import random
 import time
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from sessionlens.operators import delta, merge
-from sessionlens.sources import append_jsonl, transcript
+from sessionlens.sources import append_jsonl, counters, transcript
 from sessionlens.streaming import live, pair_stream, runs
 from sessionlens.streaming.delta_stream import normalize_stream
 
@@ -133,3 +134,48 @@ def test_live_view_equals_the_fold_over_restarts(spark, tmp_path, seed):
                 assert sorted(r["dedup_key"] for r in got if r["who"] == who and r["kind"] != "tick") == events
                 seen = next(r for r in got if r["who"] == who and r["kind"] == "tick")
                 assert (seen["session_id"], seen["ts_ms"], round(seen["cost_usd"], 6), seen["tokens"], round(seen["active_sec"], 6), seen["last_tool"], round(seen["usd_per_min"], 6), round(seen["tok_per_min"], 6)) == tick
+
+
+def test_seeded_stream_has_no_second_baseline_and_a_failed_batch_leaves_the_cursor(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice("abc"), n, rng.randrange(max(0, n - 3), n + 1), n // 15, float(rng.randrange(n, n + 9)), 2) for n in range(60)]
+    of = lambda part: spark.createDataFrame(part, SCHEMA)
+    first, seen, broken = rows[:20], [], [True]
+
+    def keep(batch, number):
+        got = batch.collect()
+        if number == 1 and broken:
+            broken.clear()
+            raise OSError("lost")
+        seen.extend(got)
+
+    for part in (rows[20:40], rows[40:]):
+        of(part).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        for _ in range(2):  # the second start reads what the first one lost, or nothing
+            deltas = normalize_stream(spark.readStream.schema(SCHEMA).json(str(tmp_path / "in")), delta.cursors(of(first)))
+            try:
+                runs.run_available(spark, deltas.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "ck")))
+            except StreamingQueryException:
+                pass
+    columns = ("series", "time_ms", "value", "delta", "rule")
+    want = [tuple(r[c] for c in columns) for r in delta.normalize(of(rows)).where("arrival >= 20").collect()]
+    assert not broken and sorted(tuple(r[c] for c in columns) for r in seen) == sorted(want)
+
+
+def test_counters_of_a_stream_equal_the_tables(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("".join(call("use" if n % 2 else "result", f"t{n}", n) for n in range(20)) + '{"broken\n[1\n')
+    listener = counters.StreamCounters()
+    spark.streams.addListener(listener)
+    try:
+        decoded = counters.observed(transcript.decode(append_jsonl.follow(spark, str(tmp_path / "in"), str(tmp_path / "ck")).withColumnRenamed("offset", "pos")), "lines", counters.of_transcripts())
+        runs.run_available(spark, decoded.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")))
+        for _ in range(100):
+            if listener.totals:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    kinds = {r["kind"]: r["count"] for r in spark.read.parquet(str(tmp_path / "out")).groupBy("kind").count().collect()}
+    assert listener.totals == {("lines", "received"): 22, ("lines", "malformed"): 2, ("lines", "accepted"): 20} and kinds == {"session": 20, "malformed": 2, "use": 10, "result": 10}
+
