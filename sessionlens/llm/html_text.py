@@ -41,6 +41,7 @@ ARTICLE = frozenset(("article", "main"))
 BLOCKS = frozenset(
     ("p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "table", "thead", "tbody", "tr", "td", "th", "caption", "blockquote", "pre", "section", "figure", "figcaption", "dl", "dt", "dd", "hr", "address", "details", "summary", "body", "html", "head", "center")
 ) | CHROME | ARTICLE
+BLOCKS -= {"button", "select"}  # these stand in a line
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 MOST_MATCHES = 1 << 20
 REACH, ALL = 3, 4
@@ -85,10 +86,12 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
 
 
 def lines(source: str) -> list[Line]:
-    """The page's lines in page order. Elements left open end with the page; an article ends chrome left open before it."""
+    """The page's lines in page order. Elements left open end with the page; an article ends chrome left open before it. Chrome that is no block
+    leaves the line that it stands in whole; its own text comes before that line."""
     out: list[Line] = []
     parts: list[str] = []
     chrome: list[list] = []  # open chrome elements: tag, depth of the same tag inside
+    held: list[str] | None = None  # the line so far, while chrome that stands inside it is open
     article = 0
 
     def end_line() -> None:
@@ -97,6 +100,12 @@ def lines(source: str) -> list[Line]:
         if text:
             out.append(Line(text, bool(chrome), article > 0))
 
+    def resume() -> None:
+        """Go on with the line that chrome stood in."""
+        nonlocal held
+        if held is not None:
+            parts[:], held = held, None
+
     at, n = 0, len(source)
     last = source.rfind(">")
     ends: dict[str, list[tuple[int, int]]] = {}  # of silent elements
@@ -151,17 +160,27 @@ def lines(source: str) -> list[Line]:
                 else:
                     end_line()
                     chrome.pop()
+                    if not chrome:
+                        resume()
             elif tag in ARTICLE and not chrome:
                 article = max(0, article - 1)
         elif tag in ARTICLE and not any(t == "article" for t, _ in chrome):
             chrome.clear()
+            resume()
+            end_line()
             article += 1
         elif chrome and chrome[-1][0] == tag:
             chrome[-1][1] += 1
         elif tag not in VOID and _is_chrome(tag, attributes, article > 0 and not chrome):
-            end_line()
+            if chrome or tag in BLOCKS:
+                end_line()
+            else:
+                held, parts = parts, []
             chrome.append([tag, 0])
     end_line()
+    chrome.clear()
+    resume()
+    end_line()
     return out
 
 

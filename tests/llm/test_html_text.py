@@ -131,3 +131,13 @@ def test_query_equals_brute_force_however_it_is_dealt(spark, monkeypatch):
         got = html_text.extract(pages(spark, rows).repartition(parts)).collect()
         assert len(got) == 240 and {r["page_id"]: r["text"] for r in got} == want
     assert any("signed by the host" in t for t in want.values()) and any(t and "signed" not in t for k, t in want.items() if k % 3)
+
+
+def test_inline_chrome_leaves_its_line_whole():
+    kept = lambda page: [line.text for line in html_text.lines(page) if not line.chrome]
+    assert kept('<article><p>One <span class="ad">x</span> two three</p></article>') == ["One two three"]
+    assert kept("<article><p>Press <button>OK</button> to go on</p><p>end</p></article>") == ["Press to go on", "end"]
+    assert kept('<p>a<span class="ad">x <b>y</b> <span>z</span><div>w</div></span>b</p>') == ["ab"]
+    assert kept('<p>a <button>left open<article><p>b</p></article> c') == ["a", "b", "c"]
+    assert kept("<p>a <button>left open") == ["a"]
+    assert [line.text for line in html_text.lines("<p>a <button>x</button> b</p>")] == ["x", "a b"]
