@@ -63,6 +63,16 @@ def active_time(t: Telemetry) -> DataFrame:
     return t.metric_points.where(F.col("name").isin(*axis.ACTIVE)).groupBy("session_id").agg(F.round(F.sum("value_delta"), 6).alias("active_sec"))
 
 
+def snapshots(t: Telemetry) -> DataFrame:
+    """session_list() with automatic approvals, the share of input that came from the cache, and the last tool."""
+    auto = t.tool_decisions.where(F.col("decision") == "accept").where(F.col("source").isin("config", "hook")).groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("auto_approved"))
+    tool = latest_tools(t).select(F.col("session_id").alias("id"), F.col("tool_name").alias("last_tool"))
+    rows = session_list(t).join(auto, "id", "left").join(tool, "id", "left")
+    whole = F.col("input_tokens") + F.col("cache_read")
+    ratio = F.when(whole > 0, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cache_read") / whole))).otherwise(0.0)
+    return rows.withColumn("auto_approved", F.coalesce("auto_approved", F.lit(0))).withColumn("last_tool", F.coalesce("last_tool", F.lit(""))).withColumn("cache_hit_ratio", F.round(ratio, 6))
+
+
 class NotFound(LookupError):
     """A session that isn't there; str() is the body that a front end answers with."""
 

@@ -48,6 +48,21 @@ def timeline(t: Telemetry) -> DataFrame:
     return prompts.unionByName(requests).unionByName(decisions).unionByName(results)
 
 
+def log_rows(t: Telemetry) -> DataFrame:
+    """The four kinds of rows that a log shows, with the fields of each; order by ts_ms, seq, id."""
+    prompts = prompt_fields(t.events)
+    parts = [
+        prompts.select("session_id", "ts_ms", "id", F.lit(0).alias("seq"), F.col("name").alias("kind"), "prompt_length"),
+        t.api_requests.select("session_id", "ts_ms", "id", F.lit(1).alias("seq"), F.when(F.col("is_error"), "api_error").otherwise("api_request").alias("kind"), "model", "input_tokens", "output_tokens", "cost_usd", "duration_ms", "status_code"),
+        t.tool_decisions.select("session_id", "ts_ms", "id", F.lit(2).alias("seq"), F.lit("tool_decision").alias("kind"), "tool_name", "decision", "source"),
+        t.tool_results.select("session_id", "ts_ms", "id", F.lit(3).alias("seq"), F.lit("tool_result").alias("kind"), "tool_name", "success", *(c for c in ("bash_command", "mcp_server") if c in t.tool_results.columns)),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out.select("*", *(F.lit("").alias(c) for c in ("bash_command", "mcp_server") if c not in out.columns))
+
+
 def with_indent(rows: DataFrame) -> DataFrame:
     """Level of each timeline row. Between prompts, a request's level is the number of tool runs before it, a tool's one more than at the latest request; 2 at most."""
     order = Window.partitionBy("session_id").orderBy("ts_ms", "seq", "id")

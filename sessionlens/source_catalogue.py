@@ -112,6 +112,19 @@ _entries["known_sessions"] = (
 )
 
 
+_entries["session_snapshots"] = (
+    lambda t: sessions.snapshots(t).select("id", "cost_usd", "input_tokens", "output_tokens", "cache_hit_ratio", "tool_accept", "tool_reject", "auto_approved", "last_tool"),
+    f"""{ADAPTER} SELECT sl.id, cost_usd, input_tokens, output_tokens, round(CASE WHEN input_tokens + cache_read > 0 THEN cache_read / (input_tokens + cache_read) ELSE 0 END, 6) AS cache_hit_ratio, tool_accept, tool_reject,
+  CAST(coalesce(a.n, 0) AS BIGINT) AS auto_approved, coalesce(a.tool, '') AS last_tool FROM sl
+  LEFT JOIN (SELECT session_id, count(*) FILTER (WHERE decision = 'accept' AND source IN ('config', 'hook')) AS n, arg_max(tool_name, {{'t': ts_ms, 'i': id}}) AS tool FROM td GROUP BY 1) a ON a.session_id = sl.id""",
+)
+_entries["log_rows"] = (
+    lambda t: timeline.log_rows(t).select("session_id", "ts_ms", "id", "kind", F.coalesce("model", "tool_name", F.lit("")).alias("label"), F.coalesce("prompt_length", "status_code", F.lit(0)).alias("number")),
+    f"""{ADAPTER} SELECT session_id, ts_ms, id, 'user_prompt' AS kind, '' AS label, k AS number FROM ev UNION ALL SELECT session_id, ts_ms, id, CASE WHEN is_error THEN 'api_error' ELSE 'api_request' END, model, status_code FROM api
+UNION ALL SELECT session_id, ts_ms, id, 'tool_decision', tool_name, 0 FROM td UNION ALL SELECT session_id, ts_ms, id, 'tool_result', tool_name, 0 FROM tr""",
+)
+
+
 def _health(t: Telemetry) -> DataFrame:
     lines = catalogue.transcript_lines(t)
     broken = t.api_requests.where("not is_error and k % 7 = 0").select(F.col("session_id").alias("file"), (F.col("id") * 3).alias("pos"), F.lit('{"type": "assist').alias("value"))
