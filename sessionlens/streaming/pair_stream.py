@@ -28,7 +28,7 @@ class Pairing(StatefulProcessor):
         self.open = handle.getValueState("open", "tool_name string, command string, use_ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        use = self.open.get() if self.open.exists() else None
+        before = use = self.open.get() if self.open.exists() else None
         out = []
         for row in pd.concat(list(rows)).sort_values(["pos", "index"]).itertuples(index=False):
             if row.is_use:
@@ -36,11 +36,12 @@ class Pairing(StatefulProcessor):
             else:
                 out.append((*key, row.session_id, int(row.ts_ms), bool(row.success), *(use or (None, None, None))))
                 use = None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if use is None:
+        # a call that opens and ends in one batch leaves the state alone
+        if before is not None:
             self.open.clear()
-        else:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if use is not None:
             self.open.update(use)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
         yield _frame(out)
