@@ -120,8 +120,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query, ties to the smaller vec_id.
 
     Both inputs have vec_id and embedding; a component x counts as floor(256 * x) (at most 2 ** 62). Rows with a null id, a null, empty or
-    non-finite vector take no part; a query meets all vectors of its own length but those of its own id. Equal rows of queries
-    count once. With no vectors or queries the result is empty. Other columns are ignored.
+    non-finite vector take no part; a query meets all vectors of its own length but those of its own id. Of a query id's rows
+    only the smallest vector asks; every row of vectors counts, so one of repeated ids can be found more than once. With no vectors or queries the result is empty. Other columns are ignored.
     """
     spark = vectors.sparkSession
 
@@ -130,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         df = df.select(F.col("vec_id").cast("long").alias(name), v.alias("v")).where(f"{name} is not null and size(v) > 0")
         return df.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))).withColumn("dim", F.size("v"))
 
-    vectors, queries = usable(vectors, "vec_id"), usable(queries, "query_id").dropDuplicates(["query_id"])
+    vectors, queries = usable(vectors, "vec_id"), usable(queries, "query_id").groupBy("query_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
     n = vectors.count()
     shards = max(1, -(-n // SHARD))
     blocks = max(1, -(-queries.count() // QUERIES))

@@ -54,3 +54,12 @@ def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
     assert {tuple(r) for r in topk.op1_topk(spark, sf).collect()} == set(duckdb.sql(topk.ORACLE).fetchall())
+
+
+def test_repeated_ids(spark):
+    """The smallest vector of an id asks; all rows of another id are found."""
+    rows = [(50, [2.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (7, [3.0, 0.0]), (7, [3.0, 0.0]), (7, [1.0, 5.0]), (8, [2.0, 2.0])]
+    vectors = spark.createDataFrame([(i, v, 0, 7) for i, v in rows], SCHEMA)
+    got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 3).orderBy("rank").collect()
+    assert [tuple(r) for r in got] == [(50, 1, 7, 3 * 65536), (50, 2, 7, 3 * 65536), (50, 3, 8, 2 * 65536)]
+
