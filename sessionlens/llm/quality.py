@@ -8,6 +8,8 @@ the counts. A text is kept if its posterior probability of good quality is at le
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW = 8
-ROUNDS = 100
+#: Expectation-maximisation ends where no posterior moves by SETTLED. Where the moves find no new low in PATIENCE rounds, steps are halved.
+SETTLED, PATIENCE = 1e-9, 1_000
 SYMBOLS = b"#*$%&|<>"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -100,10 +103,11 @@ def patterns(f: pd.DataFrame) -> np.ndarray:
     return code
 
 
-def fit(counts: dict[int, tuple[int, int]], rounds: int = ROUNDS) -> dict[int, float]:
-    """Posterior probability of good quality for each pattern, by expectation-maximisation from the majority's opinion.
+def fit(counts: dict[int, tuple[int, int]]) -> dict[int, float]:
+    """Posterior probability of good quality for each pattern, by expectation-maximisation from the majority's opinion, until it settles.
 
-    counts: a pattern's texts that pass the base rules, which the model is fitted to, and all its texts.
+    counts: a pattern's texts that pass the base rules, which the model is fitted to, and all its texts. Smoothing and the bound on a rule's
+    chances may make rounds swing; steps are then halved until they end, with a warning.
     """
     if not counts:
         return {}
@@ -114,7 +118,8 @@ def fit(counts: dict[int, tuple[int, int]], rounds: int = ROUNDS) -> dict[int, f
     good, bad = (votes == 2).sum(1), (votes == 1).sum(1)
     # one clear objection weighs as much as three approvals to begin with
     p = 1 / (1 + np.exp(-(good - 3.0 * bad)))
-    for _ in range(rounds):
+    step, least, waited = 1.0, np.inf, 0
+    while True:
         share = np.stack((1 - p, p)) * weight
         prior = (share.sum(1) + 1) / (weight.sum() + 2)
         chance = (np.einsum("cp,prv->crv", share, one_hot) + 0.5) / (share.sum(1)[:, None, None] + 1.5)
@@ -125,9 +130,14 @@ def fit(counts: dict[int, tuple[int, int]], rounds: int = ROUNDS) -> dict[int, f
             chance[low, wrong, vote] = chance[high, wrong, vote] = middle[wrong]
         logs = np.log(prior)[:, None] + np.einsum("prv,crv->cp", one_hot, np.log(chance))
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -500, 500)))
-        if np.abs(new - p).max() < 1e-9:
+        move = step * float(np.abs(new - p).max())
+        p = p + step * (new - p)
+        if move < SETTLED:
             break
-        p = new
+        least, waited = (move, 0) if move < least else (least, waited + 1)
+        if waited == PATIENCE:
+            warnings.warn(f"quality model swings by {move:.3g}; steps are halved to {step / 2:.3g}", stacklevel=2)
+            step, least, waited = step / 2, np.inf, 0
     return {int(c): float(x) for c, x in zip(codes, p, strict=True)}
 
 
