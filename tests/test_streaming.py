@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.errors import StreamingQueryException
 
@@ -61,6 +62,43 @@ def test_a_use_without_result_is_given_up(spark, tmp_path):
     assert got == {"other": "", "late": ""}
 
 
+class Held:
+    """A map state in memory that counts its calls."""
+
+    def __init__(self):
+        self.rows, self.calls = {}, 0
+
+    def getMapState(self, *_):  # noqa: N802
+        return self
+
+    def containsKey(self, key):  # noqa: N802
+        self.calls += 1
+        return key in self.rows
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.rows[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self.rows[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.rows[key]
+
+
+def test_one_group_pairs_many_calls():
+    held, pairing = Held(), pair_stream.Pairing(1)
+    pairing.init(held)
+    row = lambda n, pos, is_use: ("f", f"t{n}", pos, 0, is_use, "s", pos, True, f"tool{n}", "")
+    columns = ["file", "tool_use_id", "pos", "index", "is_use", "session_id", "ts_ms", "success", "tool_name", "command"]
+    feed = lambda rows: {r.tool_use_id: r.tool_name for r in pd.concat(pairing.handleInputRows((0,), iter([pd.DataFrame(rows, columns=columns)]), None)).itertuples()}
+    assert feed([row(n, n, True) for n in range(20)] + [row(n, 100 + n, False) for n in range(10)]) == {f"t{n}": f"tool{n}" for n in range(10)}
+    assert set(held.rows) == {("f", f"t{n}") for n in range(10, 20)} and held.calls == 20
+    assert feed([row(n, 200 + n, False) for n in range(5, 15)]) == {f"t{n}": None if n < 10 else f"tool{n}" for n in range(5, 15)} and len(held.rows) == 5
+
+
 SCHEMA = "series string, arrival int, time_ms bigint, start_ms bigint, value double, temporality int"
 
 
