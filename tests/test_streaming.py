@@ -174,6 +174,55 @@ def test_live_view_equals_the_fold_over_restarts(spark, tmp_path, seed):
                 assert (seen["session_id"], seen["ts_ms"], round(seen["cost_usd"], 6), seen["tokens"], round(seen["active_sec"], 6), seen["last_tool"], round(seen["usd_per_min"], 6), round(seen["tok_per_min"], 6)) == tick
 
 
+class Clock:
+    def __init__(self, now):
+        self.now = now
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.now
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.now
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.states.setdefault(name, Held())
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def test_one_group_shows_many_viewers():
+    """Also: keys in many pieces, of which a small batch touches few; a switch leaves none behind; timers send a tick for those without a later batch."""
+    rng = random.Random(4)
+    handle, view = Handle(), live.LiveView()
+    view.init(handle)
+    whos = [None, *(f"v{n}" for n in range(9))]
+    folds = {w: Live() for w in whos}
+    for step in range(6):
+        rows = [r | {"who": w, "dedup_key": f"k{rng.randrange(400)}", "session_id": "s" if step < 5 or w != "v3" else "t"} for w in whos if w != "v8" or not step for r in live_rows(rng, step * 200, 180)]
+        rng.shuffle(rows)
+        before = sum(s.calls for s in handle.states.values())
+        got = pd.concat(view.handleInputRows((0,), iter([pd.DataFrame(rows)]), Clock(step))).astype({"who": object})
+        assert step < 5 or sum(s.calls for s in handle.states.values()) - before < 400  # 1,620 rows
+        for who, fold in folds.items():
+            own = [r for r in rows if r["who"] == who]
+            if own:
+                events, tick = fold.feed(own)
+                mine = [r for r in got.itertuples() if r.who == who]
+                seen = mine[-1]
+                assert sorted(r.dedup_key for r in mine if r.kind != "tick") == events
+                assert (seen.session_id, seen.ts_ms, round(seen.cost_usd, 6), seen.tokens, round(seen.active_sec, 6), seen.last_tool, round(seen.usd_per_min, 6), round(seen.tok_per_min, 6)) == tick
+    chunks = {w: v[6] for (w,), v in handle.states["viewers"].rows.items()}
+    assert chunks["v1"] > 4 and sorted(handle.states["keys"].rows, key=str) == sorted(((w, c) for w, n in chunks.items() for c in range(n)), key=str)
+    stale = [pd.concat(view.handleExpiredTimer((0,), None, Clock(at))) for at in handle.timers]
+    assert [sorted(map(str, f["who"])) for f in stale] == [["v8"], [], [], [], [], sorted(str(w) for w in whos if w != "v8")] and not handle.states["due"].rows
+
+
 def test_seeded_stream_has_no_second_baseline_and_a_failed_batch_leaves_the_cursor(spark, tmp_path):
     rng = random.Random(5)
     rows = [(rng.choice("abc"), n, rng.randrange(max(0, n - 3), n + 1), n // 15, float(rng.randrange(n, n + 9)), 2) for n in range(60)]
